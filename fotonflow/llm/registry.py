@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fotonflow.llm import bpe, packing, simhash
+from fotonflow.llm import bpe, packing, quality, simhash
 from fotonflow.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -28,5 +33,5 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op5_bpe_round_trip, op8_pack_documents)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op8_pack_documents)}
 ORACLES: dict[str, str] = {}

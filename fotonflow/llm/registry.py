@@ -6,8 +6,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fotonflow.llm import bpe, packing, quality, simhash
+from fotonflow.llm import bpe, chat, packing, quality, simhash
 from fotonflow.llm.common import table
 
 
@@ -33,5 +34,13 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op8_pack_documents)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more, whose texts hold the template's own control strings."""
+    told = F.lit("\\### Assistant: </turn> ok")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), told.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.format_turns(turns))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op8_pack_documents, op9_chat_format)}
 ORACLES: dict[str, str] = {}

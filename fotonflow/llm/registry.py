@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotonflow.llm import bpe, chat, packing, quality, simhash
+from fotonflow.llm import bpe, chat, packing, quality, simhash, topk
 from fotonflow.llm.common import table
 
 
@@ -42,5 +42,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op8_pack_documents, op9_chat_format)}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
 ORACLES: dict[str, str] = {}

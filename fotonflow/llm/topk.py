@@ -27,6 +27,7 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray, width: int = 16):
         self.vectors = vectors
         self.n, self.dims = vectors.shape
+        self.columns = np.ascontiguousarray(vectors.T)
         order = np.argsort(vectors, axis=0, kind="stable")
         self.rows = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T)
@@ -39,7 +40,7 @@ class ImpactIndex:
         self.stop = np.where(last, self.n, np.append(self.start[1:], 0))
         self.least, self.most = self.values[self.dim, self.start], self.values[self.dim, self.stop - 1]
 
-    def search(self, query: np.ndarray, k: int, barred: int = -1, enough: int = 200, checks: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, query: np.ndarray, k: int, barred: int = -1, enough: int = 200, checks: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and exact scores of all vectors that may be among the k best (ties included), and the segments visited.
 
         A part is query * value less the least such product of the dimension, so no part is negative: the
@@ -67,15 +68,14 @@ class ImpactIndex:
             room = np.zeros(self.dims, np.int64)
             np.maximum.at(room, self.dim[unseen], gain[unseen])
             bar = np.partition(seen[live], len(live) - k)[len(live) - k]
-            live = live[seen[live] + room.sum() >= bar]
-            if len(live) > enough:
-                # a dimension's segments are visited from one end, so a vector is met where its value lies beyond the cut
-                edge_low, edge_high = np.full(self.dims, np.iinfo(np.int64).max), np.full(self.dims, np.iinfo(np.int64).min)
-                np.minimum.at(edge_low, self.dim[unseen], self.least[unseen])
-                np.maximum.at(edge_high, self.dim[unseen], self.most[unseen])
-                own = self.vectors[live]
-                unmet = (own >= edge_low) & (own <= edge_high)
-                live = live[seen[live] + unmet.astype(float) @ room.astype(float) >= bar]
+            # a dimension's segments are visited from one end, so a vector is met where its value lies beyond the next segment
+            most = seen.copy()
+            edge = np.where(query > 0, np.iinfo(np.int64).min, np.iinfo(np.int64).max)
+            np.maximum.at(edge, self.dim[unseen][query[self.dim[unseen]] > 0], self.most[unseen][query[self.dim[unseen]] > 0])
+            np.minimum.at(edge, self.dim[unseen][query[self.dim[unseen]] < 0], self.least[unseen][query[self.dim[unseen]] < 0])
+            for d in np.flatnonzero(room).tolist():
+                most += room[d] * (self.columns[d] <= edge[d] if query[d] > 0 else self.columns[d] >= edge[d])
+            live = live[most[live] >= bar]
             if len(live) <= max(enough, k):
                 break
         return live, self.vectors[live] @ query, at

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotonflow.llm import bpe, chat, packing, quality, simhash, suffix_tree, topk
+from fotonflow.llm import bpe, chat, packing, quality, simhash, suffix_tree, topk, vector_graph
 from fotonflow.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_vector_graph_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op7_suffix_tree_scores, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_vector_graph_near_duplicates, op7_suffix_tree_scores, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
 ORACLES: dict[str, str] = {}

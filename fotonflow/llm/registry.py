@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotonflow.llm import bpe, chat, packing, quality, simhash, suffix_tree, topk, vector_graph
-from fotonflow.llm.common import table
+from fotonflow.llm import bpe, chat, fixity, packing, quality, secret_scan, simhash, suffix_tree, topk, vector_graph
+from fotonflow.llm.common import materialize, table
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,51 @@ def vocabulary(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC volumes against a replica in which some records have a damaged byte and some are gone."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.coalesce("html", F.lit(""))
+    hurt = F.when(F.col("page_id") % 97 == 3, F.concat(F.lit("~"), F.substring(html, 2, 1 << 30))).otherwise(html)
+    ours, theirs = (fixity.record(F.col("page_id"), F.col("url"), x) for x in (html, hurt))
+    rows = pages.select("page_id", "url", F.octet_length(ours).cast("long").alias("length"), fixity.digest(ours).alias("sha256"), fixity.digest(theirs).alias("replica"))
+    placed = materialize(fixity.layout(rows), "placed")
+    there = placed.where(~F.coalesce(F.col("page_id") % 211 == 5, F.lit(False))).select("volume", "start", F.col("replica").alias("sha256"))
+    found = fixity.audit(placed.select("volume", "start", "sha256"), there)
+    return found.join(placed.select("volume", "start", "page_id", "length"), ["volume", "start"]).select("page_id", "volume", "start", "length", "kind", "expected_sha256", "found_sha256")
+
+
+ORACLE_OP1 = """
+WITH made AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         CASE WHEN page_id % 97 = 3 THEN '~' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS hurt,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+           || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head,
+         chr(13) || chr(10) || chr(13) || chr(10) AS gap
+  FROM pages
+), records AS (
+  SELECT DISTINCT page_id, url, strlen(head || strlen(html) || gap || html || gap)::BIGINT AS length,
+         sha256(head || strlen(html) || gap || html || gap) AS sha256, sha256(head || strlen(hurt) || gap || hurt || gap) AS replica
+  FROM made
+), placed AS (
+  SELECT *, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '') || '|' || sha256), 1, 8))::BIGINT
+              % greatest(1, ceil((SELECT sum(length) FROM records) / 33554432.0)::BIGINT) AS volume
+  FROM records
+), laid AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY volume ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM placed
+)
+SELECT page_id, volume, start, length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS kind,
+       sha256 AS expected_sha256, CASE WHEN page_id % 211 = 5 THEN NULL ELSE replica END AS found_sha256
+FROM laid WHERE page_id % 211 = 5 OR replica <> sha256
+"""
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "chance", "is_secret")
+
+
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,5 +99,5 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_vector_graph_near_duplicates, op7_suffix_tree_scores, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_merkle_fixity, op2_secret_scan, op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_vector_graph_near_duplicates, op7_suffix_tree_scores, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
+ORACLES = {"op1_merkle_fixity": ORACLE_OP1}

@@ -237,3 +237,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id", folds, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows, with all columns, whose whole text scores at least ``threshold``; null texts count as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, at):
+                yield batch.filter(pa.array([sent.value.score(t or "") >= threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -43,12 +43,13 @@ def byte_letters() -> dict[str, int]:
 class TwoAges:
     """A bounded cache: when the young half is full it becomes the old one, and what is used again moves back."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = CACHE) -> None:
+        self.size = size
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def age(self) -> None:
-        if len(self.young) > CACHE:
+        if len(self.young) > self.size:
             self.young, self.old = {}, self.young
 
     def missing(self, keys: list[str]) -> list[str]:

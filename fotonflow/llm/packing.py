@@ -28,24 +28,63 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space by Unicode; str.split() also cuts at these four control characters, which are not.
 CONTROLS = re.compile("[\x1c-\x1f]")
+#: Entries of a young cache; about 200 bytes each.
+RUNS = 400_000
+#: Latin letters without the dotted capital I (its small form is two characters), and the ASCII signs that may follow a word, without the apostrophe.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@[-`{-~]*)")
 
 
 class PieceTokenizer:
-    """Ids of a tokenizer that drops white space, with a bounded cache by run of non-space characters."""
+    """Ids of a tokenizer that lower-cases and drops white space, with bounded caches.
+
+    No token spans white space, so runs of other characters are encoded apart and kept by run. Most new
+    runs are a known word with a capital or a sign behind it: words are kept in lower case, and new ones are
+    encoded together in one call, each being one pre-token.
+    """
 
     def __init__(self, spec: str):
         self.inner = Tokenizer.from_str(spec)
         self.inner.no_truncation()
         self.inner.no_padding()
-        self.cache = TwoAges()
+        self.cache = TwoAges(RUNS)
+        self.words = TwoAges(RUNS)
+
+    def _apart(self, runs: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.inner.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        found = self.inner.encode(" ".join(words), add_special_tokens=False)
+        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        bounds = np.searchsorted(owner, np.arange(len(words) + 1))
+        if not len(owner) or owner[-1] != len(words) - 1 or (np.diff(bounds) < 1).any():
+            return self._apart(words)
+        raw, at = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
+
+    def _learn(self, runs: list[str]) -> None:
+        parts, odd = [], []
+        for run in runs:
+            if m := WORD.fullmatch(run):
+                parts.append((run, m[1].lower(), m[2]))
+            else:
+                odd.append(run)
+        self.words.age()
+        if new := self.words.missing([word for _, word, _ in parts]):
+            for at in range(0, len(new), 4096):
+                some = new[at : at + 4096]
+                self.words.young.update(zip(some, self._together(some)))
+        signs = list({sign for _, _, sign in parts if sign})
+        tails = dict(zip(signs, self._apart(signs))) | {"": b""}
+        known = self.words.young
+        self.cache.young.update((run, known[word] + tails[sign]) for run, word, sign in parts)
+        self.cache.young.update(zip(odd, self._apart(odd)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers. No token spans white space, so runs are encoded apart."""
+        """Ids as little-endian unsigned 32-bit integers."""
         self.cache.age()
         split = [[t] if CONTROLS.search(t) else t.split() for t in texts]
         if new := self.cache.missing([p for ps in split for p in ps]):
-            found = self.inner.encode_batch_fast(new, add_special_tokens=False)
-            self.cache.young.update(zip(new, [array("I", x.ids).tobytes() for x in found]))
+            self._learn(new)
         known = self.cache.young.__getitem__
         return [b"".join(map(known, ps)) for ps in split]
 

@@ -24,7 +24,7 @@ def usable(embedding: Column) -> Column:
 class ImpactIndex:
     """Postings of one block of integer vectors (rows), in segments of ``width`` consecutive values per dimension."""
 
-    def __init__(self, vectors: np.ndarray, width: int = 16):
+    def __init__(self, vectors: np.ndarray, width: int = 32):
         self.vectors = vectors
         self.n, self.dims = vectors.shape
         self.columns = np.ascontiguousarray(vectors.T)
@@ -40,7 +40,7 @@ class ImpactIndex:
         self.stop = np.where(last, self.n, np.append(self.start[1:], 0))
         self.least, self.most = self.values[self.dim, self.start], self.values[self.dim, self.stop - 1]
 
-    def search(self, query: np.ndarray, k: int, barred: int = -1, enough: int = 200, checks: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, query: np.ndarray, k: int, barred: int = -1, enough: int = 200, checks: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
         """Positions and exact scores of all vectors that may be among the k best (ties included), and the segments visited.
 
         A part is query * value less the least such product of the dimension, so no part is negative: the
@@ -67,15 +67,23 @@ class ImpactIndex:
             unseen = order[at:]
             room = np.zeros(self.dims, np.int64)
             np.maximum.at(room, self.dim[unseen], gain[unseen])
-            bar = np.partition(seen[live], len(live) - k)[len(live) - k]
+# the k-th best of the most promising vectors, scored exactly, is a bar that no member of the top k is below
+            ahead = live if len(live) <= 64 + k else live[np.argpartition(-seen[live], 63 + k)[: 64 + k]]
+            exact = self.vectors[ahead] @ query
+            bar = np.partition(exact, len(exact) - k)[len(exact) - k] - floor.sum()
             # a dimension's segments are visited from one end, so a vector is met where its value lies beyond the next segment
-            most = seen.copy()
             edge = np.where(query > 0, np.iinfo(np.int64).min, np.iinfo(np.int64).max)
-            np.maximum.at(edge, self.dim[unseen][query[self.dim[unseen]] > 0], self.most[unseen][query[self.dim[unseen]] > 0])
-            np.minimum.at(edge, self.dim[unseen][query[self.dim[unseen]] < 0], self.least[unseen][query[self.dim[unseen]] < 0])
+            up = query[self.dim[unseen]] > 0
+            np.maximum.at(edge, self.dim[unseen[up]], self.most[unseen[up]])
+            np.minimum.at(edge, self.dim[unseen[~up]], self.least[unseen[~up]])
+            most = seen[live]
+            columns = self.columns if len(live) > self.n // 2 else np.ascontiguousarray(self.vectors[live].T)
+            if columns is self.columns:
+                most, live = seen.copy(), np.arange(self.n)
             for d in np.flatnonzero(room).tolist():
-                most += room[d] * (self.columns[d] <= edge[d] if query[d] > 0 else self.columns[d] >= edge[d])
-            live = live[most[live] >= bar]
+                most += room[d] * (columns[d] <= edge[d] if query[d] > 0 else columns[d] >= edge[d])
+            live = live[most >= bar]
+            live = live[live != barred]
             if len(live) <= max(enough, k):
                 break
         return live, self.vectors[live] @ query, at

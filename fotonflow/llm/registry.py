@@ -99,5 +99,50 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+ORACLE_OP6 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_sum(list_transform(embedding, lambda x: x * x)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a) ON node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+ORACLE_OP9 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)
+), placed AS (
+  SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) || '>' || role AS step,
+         CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE NULL END AS head,
+         len(regexp_extract_all(text, '\\|### Assistant:|### System:|### User:|### Role:|</role>|</turn>')) AS escapes
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(head + length(text) + escapes + 9)::BIGINT AS formatted_chars,
+       bool_and(step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS in_order
+FROM placed GROUP BY conv_id
+"""
+
+ORACLE_OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
 QUERIES = {f.__name__: f for f in (op1_merkle_fixity, op2_secret_scan, op3_simhash_near_duplicates, op4_quality_classifier, op5_bpe_round_trip, op6_vector_graph_near_duplicates, op7_suffix_tree_scores, op8_pack_documents, op9_chat_format, op10_exact_top_k)}
-ORACLES = {"op1_merkle_fixity": ORACLE_OP1}
+ORACLES = {"op1_merkle_fixity": ORACLE_OP1, "op6_vector_graph_near_duplicates": ORACLE_OP6, "op9_chat_format": ORACLE_OP9, "op10_exact_top_k": ORACLE_OP10}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reasons of control items.
+#: Reasons of control items.
 RETURNED, FALLBACK, FAST_FORWARD = 1, 2, 3
-#: Events that an outcome emits.
+#: The event that each outcome emits.
 EVENTS = {"FF": "HANDOFF_FAST_FORWARDED", "EPOCH": "PACKET_EPOCH_MISMATCH", "FAIL": "TOKEN_TRANSFER_FAIL", "FIFO": "PACKET_RETURNED_TO_FIFO", "RECLAIM": "FRAME_RECLAIM_TRIGGERED", "CTRL": "PROCESSITEM_CONVERTED_TO_CONTROL"}
 
 

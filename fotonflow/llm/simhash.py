@@ -203,6 +203,11 @@ def representatives(docs: DataFrame, width: int = 4, most_bits: int = 4) -> Data
     firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
     parts = materialize(classes_of(firsts.select("fp"), most_bits), "components")
     stay = firsts.join(parts, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.content").alias("stay_content"))
+    rows_of = prints.groupBy("doc_id", "content").agg(F.count("*").alias("copies"))
+    stay = materialize(stay.join(rows_of, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("content") == F.col("stay_content"))).select("stay_id", "stay_content", "copies"), "stay")
     content = F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")) & (content == F.col("stay_content")), "left_semi")
-    return kept.withColumn("content hash", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "content hash"]).drop("content hash")
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")) & (content == F.col("stay_content")))
+    # only rows that are repeated need to meet again
+    once = kept.where("copies = 1").select(*[docs[c] for c in docs.columns])
+    repeated = kept.where("copies > 1").dropDuplicates(["stay_id", "stay_content"]).select(*[docs[c] for c in docs.columns])
+    return once.union(repeated)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fotonflow.llm.bpe import TwoAges, small_batches
+from fotonflow.llm.bpe import TwoAges, byte_letters, small_batches
 from fotonflow.llm.common import materialize
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,28 +38,25 @@ class PieceTokenizer:
     """Ids of a tokenizer that lower-cases and drops white space, with bounded caches.
 
     No token spans white space, so runs of other characters are encoded apart and kept by run. Most new
-    runs are a known word with a capital or a sign behind it: words are kept in lower case, and new ones are
-    encoded together in one call, each being one pre-token.
+    runs are a known word with a capital or a sign behind it, so words are also kept, in lower case.
     """
 
     def __init__(self, spec: str):
         self.inner = Tokenizer.from_str(spec)
         self.inner.no_truncation()
         self.inner.no_padding()
+        self.model = self.inner.model
+        self.letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
         self.cache = TwoAges(RUNS)
         self.words = TwoAges(RUNS)
 
     def _apart(self, runs: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.inner.encode_batch_fast(runs, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
-        found = self.inner.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        bounds = np.searchsorted(owner, np.arange(len(words) + 1))
-        if not len(owner) or owner[-1] != len(words) - 1 or (np.diff(bounds) < 1).any():
-            return self._apart(words)
-        raw, at = ids.tobytes(), (4 * bounds).tolist()
-        return [raw[i:j] for i, j in zip(at, at[1:])]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words, each one pre-token: the vocabulary's model is asked directly, with bytes written as its letters."""
+        letters, ask = self.letters, self.model.tokenize
+        return [array("I", [t.id for t in ask(w if w.isascii() else "".join([letters[b] for b in w.encode()]))]).tobytes() for w in words]
 
     def _learn(self, runs: list[str]) -> None:
         parts, odd = [], []
@@ -70,9 +67,7 @@ class PieceTokenizer:
                 odd.append(run)
         self.words.age()
         if new := self.words.missing([word for _, word, _ in parts]):
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                self.words.young.update(zip(some, self._together(some)))
+            self.words.young.update(zip(new, self._words(new)))
         signs = list({sign for _, _, sign in parts if sign})
         tails = dict(zip(signs, self._apart(signs))) | {"": b""}
         known = self.words.young

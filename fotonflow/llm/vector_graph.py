@@ -2,10 +2,12 @@
 
 Equal vectors of a label become one node. Nodes are cut into overlapping cluster shards: a shard that is
 too large is divided around sampled centres, and a node joins every centre that is nearly as close as its
-closest one, which is its home. Each shard builds a robust-pruned graph; the adjacency lists that a node has in its
+closest one, which is its home. A shard whose nodes would join most of the centres (a dense cluster) is not
+divided but split by hash into parts that all meet. Each shard builds a robust-pruned graph; the adjacency lists that a node has in its
 shards are united. Every node is then searched for in its home shard: greedily from the medoid, and
 once something within range is met, outwards from all that is in range until nothing new is met. Links
-are verified by cosine in double precision, and recall is audited against brute force.
+are verified by cosine in double precision, and recall is audited against brute force; where widening does not
+mend it, all nodes of a label are compared block by block.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ def _norm(a: Column) -> Column:
 def shards(nodes: DataFrame, limit: int, slack: float, levels: int = 4, fan: int = 16, most: int = 4) -> DataFrame:
     """(shard, home, part, parts, node, ...) of nodes with unit vectors ``u``, starting from their ``shard``.
 
-    A shard of more than ``limit`` nodes is divided around up to ``fan`` of its nodes, those with the smallest hash. What
-    four levels leave too large (a dense cluster) is split by hash into parts; queries of each part meet each part.
+    A shard of more than ``limit`` nodes is divided around up to ``fan`` of its nodes, those with the smallest hash and of
+    these one for each group of close ones. A node joins all centres within ``slack`` of its closest. Where that
+    would be more than ``most`` centres for a node on average, or nearly all of them, the shard stays whole. What stays
+    whole or four levels leave too large is split by hash into parts; queries of each part meet each part.
     """
     now, done = nodes.withColumn("home", F.lit(True)), []
     for level in range(levels):
@@ -45,12 +49,17 @@ def shards(nodes: DataFrame, limit: int, slack: float, levels: int = 4, fan: int
         nth = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("node", F.lit(level)), "node"))
         wanted = F.least(F.lit(fan), F.ceil(2 * F.col("n") / limit))
         centres = wide.select("shard", "u", "n", nth.alias("nth")).where(F.col("nth") <= fan).where(F.col("nth") <= wanted).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("nth", "u"))).alias("centres"))
-        near = F.transform("centres", lambda c: F.struct((-_dot(c["u"], F.col("u"))).alias("far"), c["nth"].alias("nth")))
-        ranked = wide.join(centres, "shard").withColumn("near", F.slice(F.sort_array(near), 1, most))
-        first = F.element_at("near", 1)["far"]
-        chosen = F.explode(F.filter(F.transform("near", lambda c, i: F.struct(c["nth"].alias("nth"), (i == 0).alias("first"), c["far"].alias("far"))), lambda c: c["far"] <= first + slack))
-        split = ranked.withColumn("chosen", chosen).withColumn("home", F.col("home") & F.col("chosen.first")).withColumn("shard", F.xxhash64("shard", "chosen.nth"))
-        done.append(now.join(large, "shard", "left_anti"))
+        close = lambda c: lambda k: _dot(k["u"], c["u"]) > 1 - 2 * slack
+        apart = F.aggregate("centres", F.slice("centres", 1, 1), lambda kept, c: F.when(F.exists(kept, close(c)), kept).otherwise(F.concat(kept, F.array(c))))
+        centres = centres.select("shard", apart.alias("centres"))
+        near = F.sort_array(F.transform("centres", lambda c: F.struct((-_dot(c["u"], F.col("u"))).alias("far"), c["nth"].alias("nth"))))
+        ranked = wide.join(centres, "shard").select(*nodes.columns, "home", F.size("centres").alias("fan"), near.alias("near"))
+        joined = F.filter("near", lambda c: c["far"] <= F.element_at("near", 1)["far"] + slack)
+        ranked = materialize(ranked.select(*nodes.columns, "home", "fan", F.transform(joined, lambda c, i: F.struct(c["nth"].alias("nth"), (i == 0).alias("first"))).alias("joined")), "ranked")
+        pays = ranked.groupBy("shard").agg(F.avg(F.size("joined")).alias("copies"), F.max("fan").alias("fan")).where((F.col("copies") <= most) & (F.col("copies") <= 0.75 * F.col("fan")))
+        divided = materialize(pays.select("shard"), "divided")
+        split = ranked.join(divided, "shard", "left_semi").withColumn("chosen", F.explode("joined")).withColumn("home", F.col("home") & F.col("chosen.first")).withColumn("shard", F.xxhash64("shard", "chosen.nth"))
+        done.append(now.join(divided, "shard", "left_anti"))
         # a node may come to a shard by several ways
         now = split.groupBy("shard", "node").agg(F.max("home").alias("home"), F.first("u").alias("u"), F.first("weight").alias("weight"))
         now = materialize(now.select(*nodes.columns, "home"), "shards")
@@ -88,7 +97,8 @@ def robust_prune(x: np.ndarray, degree: int = 24, far: int = 8, wide: int = 48,
 def range_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, least: float, beam: int) -> np.ndarray:
     """Hits (queries x nodes) with similarity of at least ``least``, by batched greedy search from the medoid and range expansion.
 
-    ``links`` holds out-neighbours, padded with -1. Similarities are computed for visited nodes only.
+    ``links`` holds out-neighbours, padded with -1. Similarities are computed for visited nodes only; a query that has
+    an eighth of the nodes in range is compared with all.
     """
     q, n = len(queries), len(x)
     mean = x.mean(axis=0)
@@ -117,6 +127,9 @@ def range_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, least: f
         keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[act], sims[act], open_[act] = (np.take_along_axis(v, keep, axis=1) for v in (all_ids, all_sims, all_open))
     while True:
+        dense = np.flatnonzero((8 * hits.sum(axis=1) > n) & ~grown.all(axis=1))
+        hits[dense] = queries[dense] @ x.T >= least
+        grown[dense] = True
         who, node = np.nonzero(hits & ~grown)
         if not len(who):
             return hits
@@ -148,8 +161,15 @@ def _roots(hits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def _links(cut: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataFrame]:
-    """Found per node: (node, found) with found the weight of the nodes linked; and edges that join what links."""
+#: Parts of a shard whose queries meet a part at a time.
+WAVE = 8
+
+
+def _links(cut: DataFrame, least: float, beam: int | None) -> tuple[DataFrame, DataFrame]:
+    """Found per node: (node, found) with found the weight of the nodes linked; and edges that join what links.
+
+    Without a beam no graph is searched: queries are compared with all nodes of the parts they meet.
+    """
     members = cut.select("shard", "part", "parts", "node", "u", "weight", "home")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,24 +180,25 @@ def _links(cut: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataFram
         b = ids[np.concatenate(lists)] if len(a) else a
         return pd.DataFrame({"node": np.concatenate([a, b]), "next": np.concatenate([b, a])})
 
-    edges = members.groupBy("shard", "part").applyInPandas(build, "node long, next long")
+    edges = (members if beam else members.limit(0)).groupBy("shard", "part").applyInPandas(build, "node long, next long")
     # a node has some lists of bounded length per shard, and is among the random picks of few others
     united = materialize(edges.groupBy("node").agg(F.collect_set("next").alias("next")), "graph")
     placed = materialize(members.join(united, "node", "left").withColumn("next", F.coalesce("next", F.array().cast("array<long>"))), "members")
-    asks = placed.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "part", "node", "u").toDF("shard", "part", "from", "node", "u")
+    asks = placed.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"), F.floor(F.col("part") / WAVE).alias("wave"), "node", "u").withColumnRenamed("to", "part")
 
     def answer(key: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"node": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})]
         if len(pdf) and len(asked):
             pdf = pdf.sort_values("node")
             ids, x, weight = pdf["node"].to_numpy(), np.stack(pdf["u"].to_list()), pdf["weight"].to_numpy()
-            lists = [np.searchsorted(ids, np.intersect1d(ids, v)) for v in pdf["next"]]
+            lists = [np.searchsorted(ids, np.intersect1d(ids, v)) for v in pdf["next"]] if beam else [[]]
             links = np.full((len(ids), max(1, max(map(len, lists)))), -1)
             for i, v in enumerate(lists):
                 links[i, : len(v)] = v
             for start in range(0, len(asked), 512):
                 who = asked["node"].to_numpy()[start : start + 512]
-                hits = range_search(x, links, np.stack(asked["u"].iloc[start : start + 512].to_list()), least, min(beam, len(ids)))
+                queries = np.stack(asked["u"].iloc[start : start + 512].to_list())
+                hits = range_search(x, links, queries, least, min(beam, len(ids))) if beam else queries @ x.T >= least
                 at = np.searchsorted(ids, who).clip(max=len(ids) - 1)
                 at = np.where(ids[at] == who, at, -1)
                 hits[np.flatnonzero(at >= 0), at[at >= 0]] = False
@@ -188,7 +209,9 @@ def _links(cut: DataFrame, least: float, beam: int) -> tuple[DataFrame, DataFram
                 out.append(pd.DataFrame({"node": every[moved], "found": 0, "root": every[root[moved]]}))
         return pd.concat(out)
 
-    found = placed.select("shard", "part", "node", "u", "weight", "next").groupBy("shard", "part").cogroup(asks.groupBy("shard", "part")).applyInPandas(answer, "node long, found long, root long")
+    waves = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / WAVE))).alias("wave")
+    placed = placed.select("shard", "part", waves, "node", "u", "weight", "next")
+    found = placed.groupBy("shard", "part", "wave").cogroup(asks.groupBy("shard", "part", "wave")).applyInPandas(answer, "node long, found long, root long")
     found = materialize(found, "found")
     return found.groupBy("node").agg(F.sum("found").alias("found")), found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
@@ -209,7 +232,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, limit: int = 1500,
     that the search finds, ``component_id`` is the smallest vec_id reachable. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows with a null id or label, link with nothing
     and are their own component. Repeated ids are rows of their own. If the audit finds recall below
-    ``wanted_recall``, overlap and beam are widened and the search repeated, twice at most.
+    ``wanted_recall``, overlap and beam are widened and the search repeated, twice at most; then all nodes of a label are compared.
     """
     double = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
@@ -224,6 +247,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, limit: int = 1500,
         if audit(nodes, found, least) >= wanted_recall:
             break
         slack, beam = 2 * slack, 2 * beam
+    else:
+        found, edges = _links(materialize(shards(start, limit, slack, levels=0), "cut"), least, None)
     parts = connected_components(edges).withColumnRenamed("node", "member")
     named = classes.select("label", "embedding", "least", "weight", "node").join(found, "node", "left").join(parts, F.col("node") == F.col("member"), "left")
     named = materialize(named.select("label", "embedding", "least", (F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "named")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import oracle_rows, rows_of
@@ -203,6 +204,38 @@ def test_vector_graph_against_brute_force(spark, limit):
     assert vector_graph.near_duplicates(vectors(spark).limit(0)).count() == 0
 
 
+def dense_cluster(spark, n, dims=64, noise=0.02, seed=3):
+    """n distinct vectors around one direction, mean cosine about 0.97, and as many around none; and the links of each."""
+    pick = np.random.default_rng(seed)
+    v = pick.normal(size=(2 * n, dims))
+    v[:n] = v[0] / np.linalg.norm(v[0]) + pick.normal(size=(n, dims)) * noise
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    links = np.concatenate([(u[at : at + 1000] @ u.T >= 0.93).sum(axis=1) - 1 for at in range(0, 2 * n, 1000)])
+    table = pa.table({"vec_id": pa.array(range(2 * n)), "label": pa.array([1] * (2 * n)), "embedding": pa.array(list(v))})
+    return spark.createDataFrame(table).repartition(8), links
+
+
+def test_vector_graph_finds_all_links_of_a_dense_cluster(spark):
+    """As 12,000 vectors at the limit of 1,500: eight times the limit, around sixteen centres."""
+    n = 800
+    df, links = dense_cluster(spark, n)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(df, limit=100).collect()}
+    assert sum(links[:n]) > 0.9 * n**2
+    assert sum(got[i].n_links for i in got) >= 0.999 * sum(links) and all(got[i].n_links <= k for i, k in enumerate(links))
+    assert {got[i].component_id for i in range(n)} == {0}
+
+
+def test_vector_graph_block_path_is_exact(spark):
+    """More than one wave of parts, compared without a graph."""
+    df, links = dense_cluster(spark, 60, noise=0.03)
+    unit = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    rows = [(1, i, 1, x.tolist()) for i, x in enumerate(unit / np.linalg.norm(unit, axis=1)[:, None])]
+    nodes = spark.createDataFrame(rows, "shard long, node long, weight long, u array<double>")
+    found, _ = vector_graph._links(vector_graph.shards(nodes, 12, 0.1, levels=0), 0.93, None)
+    got = {r.node: r.found for r in found.collect()}
+    assert [got[i] for i in range(120)] == links.tolist()
+
+
 @pytest.mark.parametrize("block, query_block", [(16384, 2048), (90, 5)])
 def test_top_k_is_exact(spark, block, query_block):
     rows = vectors(spark).collect()

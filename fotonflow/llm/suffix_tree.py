@@ -1,20 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Contexts are the last words before a symbol, up to ``depth`` of them. A context is a candidate while
-its share of the training tokens is at least ``least_share``, so a level never has more than
-1 / least_share of them however large the corpus. It becomes a state when its own next-symbol
-distribution diverges enough from that of its suffix, measured on counts from which the symbol itself
-is left out; suffixes of states are kept, so the states form a tree. A state's distribution is smoothed
-with that of its suffix, down to the add-one distribution of single tokens, and each token is scored by
-the longest suffix of its history that is a state.
-
-Words and contexts travel as 64-bit hashes. Counts live in tables that grow with the corpus; documents
-are dealt into blocks of bounded size, each block asks once for every count that its tokens need, and
-the answers meet its documents again in one group per block.
+Contexts are the last 1, 2, ... ``depth`` words before a symbol. A context that training has met at least
+``least`` times becomes a state of the tree when its next-symbol distribution diverges from that of its longest
+suffix that is a state: the mean over its training symbols of log2(own / suffix), each symbol left out of its
+own count, must reach ``divergence`` bits. A state's distribution is smoothed with its suffix's, down to the
+add-one distribution of single words, and each symbol is scored by the longest suffix of its history that is a state.
+
+Every position of the corpus (a symbol and its history) is dealt by the last words of its history, so a group
+holds whole subtrees: it counts them, tests them and scores its own positions, and the tree is never gathered
+anywhere. Contexts too common for one group (hot ones) are counted by a Spark aggregation; their positions are
+dealt by a longer context, and the counts that a group needs of them and of single words are joined to it.
+Words and contexts are 64-bit hashes; positions travel as compressed columns, one row per group and chunk.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,21 +29,23 @@ from pyspark.sql import functions as F
 from fotonflow.llm.bpe import small_batches
 from fotonflow.llm.common import materialize
 
-WORD_CACHE = 250_000
-#: Tokens whose counts are gathered at a time within a task.
-CHUNK = 1 << 20
+#: Words kept with their hashes, and the bytes up to which a word is kept.
+WORD_CACHE, KEPT_BYTES = 250_000, 48
+#: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
+BLOCK, CHUNK = 1 << 20, 1 << 20
+SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word) - (1 << 63)
-        if len(self) < WORD_CACHE:
+        if len(self) < WORD_CACHE and len(word) <= KEPT_BYTES:
             self[word] = h
         return h
 
 
 _hashes = WordHashes()
-#: The symbol after the last word; no word holds a space.
+#: The symbol after the last word, and the mark before the first one; no word holds a space.
 END = xxhash.xxh64_intdigest(b" end") - (1 << 63)
 
 
@@ -56,25 +59,43 @@ def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-def symbols(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased (A-Z) words of a whole text, and of the end."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.int64)
-    out[:-1] = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-    out[-1] = END
-    return out
+def longer(context: np.ndarray, older: np.ndarray) -> np.ndarray:
+    """The context with an older word in front."""
+    return mix(context, older, 11)
 
 
-def contexts(h: np.ndarray, sizes: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each token of concatenated documents: keys of its last 1, 2, ... ``depth`` words; ends stand before the first word."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out: list[np.ndarray] = []
-    for d in range(1, depth + 1):
-        back = np.full(len(h), END, np.int64)
-        back[d:] = h[:-d]
-        back[place < d] = END
-        out.append(back if d == 1 else mix(out[-1], back, 11))
-    return out
+def pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(context, symbol, 23)
+
+
+def symbols(text: str | None, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of the lower-cased (A-Z) words of a whole text and of its end, in pieces.
+
+    Each piece starts with up to ``depth`` words of the piece before (their number comes with it).
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    held, at = np.zeros(0, np.int64), 0
+    while True:
+        cut = SPACES.search(data, at + BLOCK) if at + BLOCK < len(data) else None
+        stop = cut.start() if cut else len(data)
+        words = data[at:stop].lower().split()
+        now = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+        now = np.concatenate([held, now, [] if cut else [END]]).astype(np.int64) if len(held) else np.append(now, [] if cut else END).astype(np.int64)
+        yield len(held), now
+        if not cut:
+            return
+        held, at = now[max(0, len(now) - depth) :], stop
+
+
+def packed(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
 def among(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,134 +107,183 @@ def among(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 @dataclass(frozen=True)
-class Tree:
-    """States by level: sorted context keys, and for each the shares of own counts and of the suffix's distribution."""
+class Hot:
+    """Contexts of one length that are too common for one group: sorted keys, symbols after them, distinct ones, and which are states."""
+
+    keys: np.ndarray
+    n: np.ndarray
+    distinct: np.ndarray
+    state: np.ndarray
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Bounds of the tree, and what is known of the whole training text."""
 
-    tokens: int
-    words: int
     depth: int
-    keys: list[np.ndarray]
-    total: list[np.ndarray]
-    rest: list[np.ndarray]
+    least: int
+    divergence: float
+    tokens: int = 0
+    words: int = 0
+    hot: tuple[Hot, ...] = ()
+
+
+@dataclass
+class Chunk:
+    """Pieces of documents one after the other."""
+
+    uids: np.ndarray
+    train: np.ndarray
+    h: np.ndarray
+    sizes: np.ndarray
+    lead: np.ndarray
+
+    def place(self) -> np.ndarray:
+        """The place of each symbol in its piece, which starts at the document's start or holds the longest context."""
+        return np.arange(len(self.h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def histories(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For lengths 1, 2, ...: the context of each symbol, and whether it has one (the start is the oldest word)."""
+        place, context = self.place(), None
+        for d in range(1, depth + 1):
+            back = np.full(len(self.h), END)
+            back[d:] = self.h[:-d] if d < len(self.h) else []
+            back[place < d] = END
+            context = back if context is None else longer(context, back)
+            yield context, place >= d - 1
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Rows (uid, train, lead, words) as chunks of about CHUNK symbols."""
+    held: list[tuple] = []
+    n = 0
+
+    def whole() -> Chunk:
+        uids, train, lead, hs = zip(*held)
+        held.clear()
+        return Chunk(np.array(uids, np.int64), np.array(train, bool), np.concatenate(hs), np.array(list(map(len, hs))), np.array(lead))
+
+    for batch in batches:
+        for uid, train, lead, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            held.append((uid, train, lead, unpacked(words, np.int64)))
+            n += len(held[-1][3])
+            if n >= CHUNK:
+                yield whole()
+                n = 0
+    if held:
+        yield whole()
 
 
 def folded(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _count(texts: DataFrame, depth: int, candidates: np.ndarray | None) -> DataFrame:
-    """Counts over all texts: (word, c), or (context, word, c) for the contexts given."""
-    sent = texts.sparkSession.sparkContext.broadcast(candidates)
-    names = ["context", "word", "c"] if depth else ["word", "c"]
-
-    def gathered(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        if not depth:
-            cols = np.unique(h, return_counts=True)
-        else:
-            keys = contexts(h, sizes, depth)[-1]
-            some, at = among(keys, sent.value)
-            at, h = at[some], h[some]
-            order = np.lexsort((h, at))
-            at, h = at[order], h[order]
-            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (at[1:] != at[:-1])]))
-            cols = sent.value[at[new]], h[new], np.diff(np.append(new, len(h)))
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=names)
+def _symbol_table(docs: DataFrame, train: Column, depth: int) -> DataFrame:
+    """(uid, train, lead, words, doc_id, n), one row per piece of a document; all later passes read it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), train.alias("train"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = ["uid", "train", "lead", "words", "doc_id", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for whole in batches:
-            for batch in small_batches(whole, 0):
-                for text in batch.column(0).to_pylist():
-                    held.append(symbols(text))
-                    n += len(held[-1])
-                if n >= CHUNK:
-                    yield gathered(held)
-                    held, n = [], 0
-        if held:
-            yield gathered(held)
-
-    return texts.mapInArrow(run, ", ".join(f"{x} long" for x in names)).groupBy(*names[:-1]).agg(F.sum("c").alias("c"))
-
-
-def train(texts: DataFrame, depth: int = 2, least_share: float = 5e-4, divergence: float = 0.01) -> tuple[Tree, DataFrame]:
-    """The tree, and the table (key, c) of its counts: all single words, and per state the words met at least twice.
-
-    ``texts`` has one string column. With counts c >= 2 kept, N all tokens after a context and T its distinct
-    ones, a state's distribution is (c + rest * suffix) / (N + T), where rest = N + T - sum of kept c.
-    The divergence of a context from its suffix is the mean of log2(own / suffix) over its tokens, each left
-    out of its own count; contexts of at least ``divergence`` bits become states.
-    """
-    if not 1 <= depth <= 2:
-        raise ValueError("contexts have one or two words")
-    spark = texts.sparkSession
-    words = materialize(_count(texts, 0, None), "words")
-    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # at most 1 / least_share contexts on each level
-    frequent = words.where(F.col("c") >= max(2.0, least_share * tokens)).select("word").toPandas()["word"].to_numpy(np.int64)
-    level, tables = np.sort(frequent), []
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for d in range(1, depth + 1):
-        if not len(level):
-            break
-        counts = materialize(_count(texts, d, level), f"contexts{d}")
-        sums = counts.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("t"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("kept")).withColumn("rest", F.col("n") + F.col("t") - F.col("kept"))
-        kept = counts.where("c > 1").join(F.broadcast(sums), "context")
-        below = kept.join(words.withColumnRenamed("c", "c0"), "word").withColumn("p", (F.col("c0") + 1) / F.lit(float(tokens + distinct + 1)))
-        if d > 1:
-            below = below.join(F.broadcast(shorter), "context")
-            own = F.xxhash64("suffix", "word")
-            lower = previous.select(F.xxhash64("context", "word").alias("pair"), F.col("c").alias("c1"))
-            below = below.withColumn("pair", own).join(lower, "pair", "left").withColumn("p", (F.coalesce("c1", F.lit(0)) + F.col("suffix_rest") * F.col("p")) / F.col("suffix_total"))
-        gain = F.sum(F.col("c") * F.log2((F.col("c") - 1 + F.col("rest") * F.col("p")) / (F.col("n") - 1 + F.col("t")) / F.col("p"))).alias("gain")
-        tested = sums.join(below.groupBy("context").agg(gain), "context", "left").toPandas()
-        single = (tested["n"] - tested["kept"]) * np.log2(tested["rest"] / (tested["n"] + tested["t"]))
-        tested["bits"] = (tested["gain"].fillna(0) + single) / tested["n"]
-        key = tested["context"].to_numpy(np.int64)
-        order = np.argsort(key)
-        found.append(tuple(x.to_numpy()[order] for x in (tested["context"], tested["n"] + tested["t"], tested["rest"], tested["bits"])) + (level,))
-        tables.append(counts)
-        # pairs that are frequent enough extend their context by an older word
-        if d < depth:
-            longer = counts.where(F.col("c") >= max(2.0, least_share * tokens)).toPandas()
-            older, last = longer["context"].to_numpy(np.int64), longer["word"].to_numpy(np.int64)
-            keep = last != END
-            older, last = older[keep], last[keep]
-            key = mix(last, older, 11)
-            known, at = among(last, found[0][0])
-            level, suffix = np.sort(key[known]), at[known]
-            shorter = spark.createDataFrame(pd.DataFrame({"context": key[known], "suffix": last[known], "suffix_total": found[0][1][suffix].astype(float), "suffix_rest": found[0][2][suffix].astype(float)}), "context long, suffix long, suffix_total double, suffix_rest double")
-            suffix_of = dict(zip(key[known].tolist(), last[known].tolist()))
-            previous = counts.where("c > 1")
-    states = [{k for k, b in zip(x[0].tolist(), x[3].tolist()) if b >= divergence} for x in found]
-    if len(states) == 2:
-        states[0] |= {suffix_of[k] for k in states[1]}
-    keep = [np.array([k in s for k in x[0].tolist()], bool) for x, s in zip(found, states)]
-    tree = Tree(int(tokens), int(distinct), len(found), [x[0][k] for x, k in zip(found, keep)], [x[1][k].astype(float) for x, k in zip(found, keep)], [x[2][k].astype(float) for x, k in zip(found, keep)])
-    model = words.select(F.col("word").alias("key"), "c")
-    for d, counts in enumerate(tables):
-        some = spark.createDataFrame(pd.DataFrame({"context": tree.keys[d]}), "context long")
-        pairs = counts.where("c > 1").join(F.broadcast(some), "context")
-        model = model.union(_keyed(pairs))
-    return tree, model
-
-
-def _keyed(pairs: DataFrame) -> DataFrame:
+            for batch in small_batches(whole, 3):
+                owner, lead, words, n = [], [], [], []
+                for i, text in enumerate(batch.column(3).to_pylist()):
+                    for first, h in symbols(text, depth):
+                        owner.append(i)
+                        lead.append(first)
+                        words.append(packed(h))
+                        n.append(len(h) - first)
+                uid, flag, doc = (batch.column(c).take(pa.array(owner, pa.int64())) for c in (0, 1, 2))
+                yield pa.RecordBatch.from_arrays([uid, flag, pa.array(lead, pa.int64()), pa.array(words, pa.binary()), doc, pa.array(n, pa.int64())], names=names)
+
+    return materialize(rows.mapInArrow(run, "uid long, train boolean, lead long, words binary, doc_id long, n long"), "symbols")
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[new], b[new], np.diff(np.append(new, len(a)))
+
+
+def _word_counts(table: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, word, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(mix(context, word, 23)), pa.array(c)], names=["key", "c"])
+        for chunk in chunks(batches):
+            words, c = np.unique(chunk.h[chunk.place() >= np.repeat(chunk.lead, chunk.sizes)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c)], names=["word", "c"])
+
+    return table.select("uid", "train", "lead", "words").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-    return pairs.select("context", "word", "c").mapInArrow(run, "key long, c long")
 
+def _hot_counts(table: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
+    """(kind, context, other, c): kind 0 has the symbols after each hot context of length d, kind 1 the contexts that are a word longer, with their hot suffix."""
+    sent = table.sparkSession.sparkContext.broadcast(keys)
+    names = ["kind", "context", "other", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            new = chunk.place() >= np.repeat(chunk.lead, chunk.sizes)
+            levels = list(chunk.histories(d + 1))
+            context, valid = levels[d - 1]
+            some = np.flatnonzero(new & valid & among(context, sent.value)[0])
+            above, reaches = levels[d]
+            more = some[reaches[some]]
+            for kind, (x, y, c) in enumerate((_counted(context[some], chunk.h[some]), _counted(above[more], context[more]))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind)), *map(pa.array, (x, y, c))], names=names)
+
+    found = table.select("uid", "train", "lead", "words").mapInArrow(run, "kind long, context long, other long, c long")
+    return found.groupBy("kind", "context", "other").agg(F.sum("c").alias("c"))
+
+
+def _left_out(c: object, distinct: object, n: object, p: object, alone: object) -> object:
+    """A symbol's probability at a context, with the symbol itself left out of the counts; works on columns and arrays."""
+    return (c - 1 + (distinct - alone) * p) / (n - 1 + distinct - alone)
+
+
+def _hot_levels(table: DataFrame, words: DataFrame, base: Settings, most: int) -> tuple[tuple[Hot, ...], DataFrame]:
+    """The hot contexts by length, tested, and (key, c): the counts of single words and of symbols after hot contexts."""
+    spark = table.sparkSession
+    known = words.select(F.col("word").alias("key"), "c")
+    below = words.select(F.col("word").alias("symbol"), ((F.col("c") + 1) / F.lit(float(base.tokens + base.words + 1))).alias("p"))
+    candidates = words.where(F.col("c") > most).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"))
+    # a word is a context as often as it is not the last symbol; the mark of the start stands for the end here
+    out: list[Hot] = []
+    for d in range(1, base.depth + 1):
+        # at most tokens / most rows
+        named = candidates.toPandas()
+        keys = np.unique(named["context"].to_numpy(np.int64))
+        if not len(keys):
+            break
+        counts = materialize(_hot_counts(table, d, keys), f"hot{d}")
+        after = counts.where("kind = 0").select("context", F.col("other").alias("symbol"), "c")
+        sums = after.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
+        tested = after.join(F.broadcast(sums), "context")
+        if d == 1:
+            tested = tested.join(below, "symbol")
+        else:
+            suffixes = spark.createDataFrame(named[["context", "suffix"]], "context long, suffix long")
+            tested = tested.join(F.broadcast(suffixes), "context").join(below, ["suffix", "symbol"])
+        own = _left_out(F.col("c"), F.col("t"), F.col("n"), F.col("p"), (F.col("c") == 1).cast("int"))
+        tested = materialize(tested.withColumn("gain", F.col("c") * F.log2(own / F.col("p"))), f"tested{d}")
+        found = tested.groupBy("context").agg(F.first("n").alias("n"), F.first("t").alias("t"), (F.sum("gain") / F.first("n")).alias("bits")).toPandas().sort_values("context")
+        state = found["bits"].to_numpy() >= base.divergence
+        out.append(Hot(*(found[c].to_numpy(np.int64) for c in ("context", "n", "t")), state))
+        known = known.union(_keyed(after))
+        flags = F.broadcast(spark.createDataFrame(pd.DataFrame({"context": found["context"].to_numpy(np.int64), "is_state": state}), "context long, is_state boolean"))
+        p = F.when(F.col("is_state"), (F.col("c") + F.col("t") * F.col("p")) / (F.col("n") + F.col("t"))).otherwise(F.col("p"))
+        below = tested.join(flags, "context").select(F.col("context").alias("suffix"), "symbol", p.alias("p"))
+        candidates = counts.where("kind = 1").where(F.col("c") > most).select("context", F.col("other").alias("suffix"))
+    return tuple(out), known
+
+
+def _keyed(after: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, symbol, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(pair(context, symbol)), pa.array(c)], names=["key", "c"])
 
-def _states(tree: Tree, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level: which tokens have a state of that length, and which; a longer state needs its suffix, which the tree holds."""
-    out = []
-    for level, key in enumerate(keys):
-        some, at = among(key, tree.keys[level])
-        out.append((some & out[-1][0] if out else some, at))
-    return out
+    return after.mapInArrow(run, "key long, c long")
 
 
 def _spread(spark: SparkSession, n: int) -> list[int]:
@@ -222,87 +292,201 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
     return [r[0] for r in spark.range(40 * n + 400).groupBy(place.alias("place")).agg(F.min("id").alias("id")).select("id").collect()]
 
 
-def score(docs: DataFrame, tree: Tree, model: DataFrame, block_bytes: int = 24 << 20, folds: int = 7, fold: int = 2) -> DataFrame:
-    """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+DEALT = "dest long, chunk long, uids binary, train binary, dictionary binary, codes binary, docs binary"
+
 
-    A null text counts as empty: one token, its end. Rows with a null doc_id are scored and belong to training.
+def _deal(table: DataFrame, parts: int, settings: Settings) -> DataFrame:
+    """All positions, as compressed columns by group and chunk; code 0 means that a history is not that long."""
+    spark = table.sparkSession
+    sent = spark.sparkContext.broadcast(settings)
+    # many small groups even out by themselves
+    places = np.array(_spread(spark, parts) if parts <= 2048 else range(parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = sent.value
+        for chunk in chunks(batches):
+            place, piece = chunk.place(), np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+            new = np.flatnonzero(place >= chunk.lead[piece])
+            # where all contexts are hot, the document decides
+            home = chunk.uids[piece]
+            open_ = np.ones(len(home), bool)
+            for d, (context, valid) in enumerate(chunk.histories(s.depth)):
+                hot = among(context, s.hot[d].keys)[0] if d < len(s.hot) else np.zeros(len(home), bool)
+                here = open_ & valid & ~hot
+                home = np.where(here, context, home)
+                open_ &= valid & hot
+                if not open_.any():
+                    break
+            dest = (mix(home, home, 31).view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            words, code = np.unique(np.append(chunk.h, END), return_inverse=True)
+            words, code = np.concatenate([[0], words]), (code + 1).astype(np.int32)
+            code, last = code[:-1], code[-1]
+            table_ = np.zeros((s.depth + 1, len(new)), np.int32)
+            table_[0] = code[new]
+            for d in range(1, s.depth + 1):
+                table_[d] = np.where(place[new] >= d, code[np.maximum(new - d, 0)], np.where(place[new] == d - 1, last, 0))
+            order = np.argsort(dest[new], kind="stable")
+            sorted_ = dest[new][order]
+            bounds = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(new) else [0]
+            out: list[tuple] = []
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                codes, docs = table_[:, order[i:j]], piece[new[order[i:j]]]
+                used = np.zeros(len(words), bool)
+                used[0] = True
+                used[codes] = True
+                seen = np.zeros(len(chunk.uids), bool)
+                seen[docs] = True
+                small, few = (np.cumsum(x, dtype=np.int32) - 1 for x in (used, seen))
+                out.append((places[sorted_[i]], chunk.uids[0], *map(packed, (chunk.uids[seen], chunk.train[seen], words[used], small[codes].ravel().astype(np.int32), few[docs].astype(np.int32)))))
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in DEALT.split(", ")])
+
+    dealt = table.select("uid", "train", "lead", "words").mapInArrow(run, DEALT)
+    return dealt.repartition(parts, "dest")
+
+
+def _positions(row: tuple, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A dealt row's symbols, histories (depth x positions, 0 where there is none) and documents."""
+    dictionary, codes = unpacked(row[0], np.int64), unpacked(row[1], np.int32).reshape(depth + 1, -1)
+    return dictionary[codes[0]], dictionary[codes[1:]], unpacked(row[2], np.int32)
+
+
+def _asks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """The keys (single words, symbols after hot contexts) of which each group needs the counts."""
+    known: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for dest, *row in zip(*(batch.column(n).to_pylist() for n in ("dest", "dictionary", "codes", "docs"))):
+            symbol, past, _ = _positions(row, s.depth)
+            keys, context, live = [pd.unique(symbol)], None, np.arange(len(symbol))
+            for d, hot in enumerate(s.hot):
+                context = past[0] if d == 0 else longer(context, past[d])
+                live = live[(past[d][live] != 0) & among(context[live], hot.keys)[0]]
+                keys.append(pd.unique(pair(context[live], symbol[live])))
+            known[dest] = [pd.unique(np.concatenate([*known.get(dest, []), *keys]))]
+    for dest, (keys,) in known.items():
+        for at in range(0, len(keys), 1 << 16):
+            part = keys[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dest)), pa.array(part)], names=["dest", "key"])
+
+
+def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """The subtrees of one group and the probabilities of its positions: (known, base, p, states).
+
+    ``train`` marks positions that count. ``states`` has (length, context, n, distinct, bits) per level of the group's own contexts.
     """
+    keys, cs = counts
+
+    def found(which: np.ndarray) -> np.ndarray:
+        some, at = among(which, keys)
+        return np.where(some, cs[at], 0) if len(keys) else np.zeros(len(which), np.int64)
+
+    c0 = found(symbol)
+    base = (c0 + 1) / (s.tokens + s.words + 1)
+    p, context, live, states = base.copy(), None, np.arange(len(symbol)), []
+    weight = train.astype(np.float64)
+    for d in range(s.depth):
+        context = past[0] if d == 0 else longer(context, past[d])
+        live = live[past[d][live] != 0]
+        hot, at = among(context[live], s.hot[d].keys) if d < len(s.hot) else (np.zeros(len(live), bool), None)
+        common = live[hot]
+        if len(common):
+            at = at[hot]
+            c, n, t = found(pair(context[common], symbol[common])), s.hot[d].n[at], s.hot[d].distinct[at]
+            p[common] = np.where(s.hot[d].state[at], (c + t * p[common]) / (n + t), p[common])
+        own = live[~hot]
+        group, heads = pd.factorize(context[own])
+        n = np.bincount(group, weight[own], len(heads))
+        enough = n[group] >= s.least
+        own, group = own[enough], group[enough]
+        which, _ = pd.factorize(pair(context[own], symbol[own]))
+        c = np.bincount(which, weight[own])
+        one = np.zeros(len(c), np.int64)
+        one[which] = np.arange(len(own))
+        of, below = group[one], p[own[one]]
+        t = np.bincount(of, c > 0, len(heads))
+        met = c > 0
+        lone = _left_out(c[met], t[of[met]], n[of[met]], below[met], c[met] == 1)
+        bits = np.bincount(of[met], c[met] * np.log2(lone / below[met]), len(heads)) / np.maximum(n, 1)
+        state = (n >= s.least) & (bits >= s.divergence)
+        better = np.where(state[of], (c + t[of] * below) / np.maximum(n[of] + t[of], 1), below)
+        p[own] = better[which]
+        states.append((np.full(int(state.sum()), d + 1), heads[state], n[state], t[state], bits[state]))
+        live = np.concatenate([common, own])
+    return c0 > 0, base, p, states
+
+
+def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) -> pd.DataFrame:
+    """Per dealt row: the documents' sums of known symbols and of both log-probabilities; or the group's states."""
+    rows = [_positions(row, s.depth) for row in zip(pdf["dictionary"], pdf["codes"], pdf["docs"])]
+    order = np.argsort(counts["key"].to_numpy(np.int64))
+    answers = tuple(counts[c].to_numpy(np.int64)[order] for c in ("key", "c"))
+    uids, train = [unpacked(x, np.int64) for x in pdf["uids"]], [unpacked(x, bool) for x in pdf["train"]]
+    symbol, past = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows], axis=1)
+    flags = np.concatenate([t[x[2]] for t, x in zip(train, rows)])
+    known, base, p, found = grow(symbol, past, flags, answers, s)
+    if states:
+        return pd.DataFrame({k: np.concatenate([level[i] for level in found]) for i, k in enumerate(("length", "context", "n", "distinct_symbols", "bits"))})
+    out, at = [], 0
+    for (_, _, docs), ids, chunk in zip(rows, uids, pdf["chunk"]):
+        part = slice(at, at + len(docs))
+        at += len(docs)
+        sums = [np.bincount(docs, x[part], len(ids)) for x in (known.astype(float), np.log10(base), np.log10(p))]
+        out.append((chunk, packed(ids), packed(np.concatenate(sums))))
+    return pd.DataFrame(out, columns=["chunk", "uids", "sums"])
+
+
+def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one chunk's documents over all groups; a chunk has a bounded number of symbols."""
+    ids = [unpacked(x, np.int64) for x in pdf["uids"]]
+    where, names = pd.factorize(np.concatenate(ids))
+    sums = np.concatenate([unpacked(x, np.float64).reshape(3, -1) for x in pdf["sums"]], axis=1)
+    known, base, score = (np.bincount(where, x) for x in sums)
+    return pd.DataFrame({"uid": names, "known": known.round().astype(np.int64), "base_score": base, "score": score})
+
+
+def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame, Settings]:
+    """The symbol table, the dealt positions, the counts joined to their groups, and the settings."""
+    if depth < 1 or least < 2:
+        raise ValueError("contexts have at least one word and occur at least twice")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tree)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 1
-    # at least the session's number of partitions, so that grouping by block needs no second exchange
-    blocks = max(1, -(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
-    if blocks <= 2048:  # many small blocks even out by themselves
-        block = F.element_at(F.array(*map(F.lit, _spread(spark, blocks))), block.cast("int") + 1).cast("long")
-    dealt = rows.withColumn("block", block).repartition(blocks, "block")
-
-    def lookups(h: np.ndarray, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        keys = contexts(h, sizes, sent.value.depth)
-        return [(some, at[some], mix(key[some], h[some], 23)) for key, (some, at) in zip(keys, _states(sent.value, keys))]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        known: dict[int, np.ndarray] = {}
-        n = 0
-
-        def fold_in() -> None:
-            for b, parts in held.items():
-                h, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-                known[b] = np.unique(np.concatenate([known.get(b, np.zeros(0, np.int64)), np.unique(h), *[np.unique(x[2]) for x in lookups(h, sizes)]]))
-            held.clear()
-
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    held.setdefault(b, []).append(symbols(text))
-                    n += len(held[b][-1])
-                if n >= CHUNK:
-                    fold_in()
-                    n = 0
-        fold_in()
-        for b, keys in known.items():
-            for at in range(0, len(keys), 1 << 16):
-                part = keys[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b)), pa.array(part)], names=["block", "key"])
-
-    # all columns, so that both uses of the dealt documents share one exchange
-    asked = dealt.select("block", "text", "doc_id").mapInArrow(ask, "block long, key long")
-    answers = asked.join(model, "key").select("block", "key", "c")
-
-    def answer(texts: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        t = sent.value
-        order = np.argsort(counts["key"].to_numpy(np.int64))
-        keys, cs = counts["key"].to_numpy(np.int64)[order], counts["c"].to_numpy(np.int64)[order]
-
-        def found(which: np.ndarray) -> np.ndarray:
-            some, at = among(which, keys)
-            return np.where(some, cs[at], 0) if len(keys) else np.zeros(len(which), np.int64)
-
-        n, known, base, whole = [], [], [], []
-        for start in range(0, len(texts), 512):
-            parts = [symbols(x) for x in texts["text"].iloc[start : start + 512]]
-            h, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-            c = found(h)
-            p0 = (c + 1) / (t.tokens + t.words + 1)
-            p = p0.copy()
-            for level, (some, at, look) in enumerate(lookups(h, sizes)):
-                p[some] = (found(look) + t.rest[level][at] * p[some]) / t.total[level][at]
-            first = np.cumsum(sizes) - sizes
-            n.append(sizes)
-            known.append(np.add.reduceat((c > 0).astype(np.int64), first))
-            base.append(np.add.reduceat(np.log10(p0), first))
-            whole.append(np.add.reduceat(np.log10(p), first))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "n_tokens": join(n, np.int64), "n_known": join(known, np.int64), "base_score": join(base, float), "score": join(whole, float)})
-
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(answer, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, **options: float) -> DataFrame:
-    """Train on all documents outside the fold, score all documents."""
-    texts = docs.where(~folded("doc_id", folds, fold)).select(F.col("text").cast("string").alias("text"))
-    tree, model = train(texts, **options)
-    return score(docs, tree, model, folds=folds, fold=fold)
+    table = _symbol_table(docs, train, depth)
+    training = table.where("train")
+    words = materialize(_word_counts(training), "words")
+    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    s = Settings(depth, least, divergence, int(tokens), int(distinct))
+    # at most 2**20 hot contexts of each length, however large the corpus
+    hot, known = _hot_levels(training, words, s, max(most, s.tokens >> 20))
+    s = Settings(depth, least, divergence, s.tokens, s.words, hot)
+    size = table.agg(F.sum("n")).first()[0] or 0
+    # at least the session's number of partitions, so that grouping needs no second exchange
+    parts = max(1, -(-size // group), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = _deal(table, parts, s)
+    sent = spark.sparkContext.broadcast(s)
+    asked = dealt.mapInArrow(lambda batches: _asks(batches, sent.value), "dest long, key long")
+    return table, dealt, asked.join(known, "key").select("dest", "key", "c"), s
+
+
+def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000) -> DataFrame:
+    """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); training uses all rows outside the fold.
+
+    ``least`` and ``divergence`` decide which contexts of up to ``depth`` words are states. Contexts met more than ``most``
+    times are counted apart, and a group has about ``group`` positions; neither changes a result. A null text counts as
+    empty: one symbol, its end. Rows with a null doc_id belong to training; rows with equal or null ids are scored apart;
+    other columns are not read; an empty table gives no rows.
+    """
+    table, dealt, answers, s = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group)
+    sent = docs.sparkSession.sparkContext.broadcast(s)
+    sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({"chunk": [], "uids": [], "sums": []}), "chunk long, uids binary, sums binary")
+    parts = sums.groupBy("chunk").applyInPandas(_documents, "uid long, known long, base_score double, score double")
+    rows = parts.groupBy("uid").agg(F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    named = table.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"))
+    return named.join(rows, "uid").select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(s.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000) -> DataFrame:
+    """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
+    _, dealt, answers, s = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group)
+    sent = docs.sparkSession.sparkContext.broadcast(s)
+    columns = "length long, context long, n double, distinct_symbols double, bits double"
+    return dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, True) if len(a) else pd.DataFrame({x.split()[0]: [] for x in columns.split(", ")}), columns)

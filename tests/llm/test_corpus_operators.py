@@ -140,39 +140,90 @@ def test_dual_coordinate_descent_solves_the_hinge_problem():
     assert all(loss(w) <= loss(w + d) + 1e-3 for d in pick.normal(size=(200, 20)) * 0.05)
 
 
-def test_suffix_tree_scores(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    docs = docs.union(spark.createDataFrame([(10_000, None), (10_001, ""), (None, "the of and"), (3, "repeated id")], docs.schema))
-    got = suffix_tree.train_and_score(docs, least_share=2e-3).collect()
+def brute_tree(rows, held, depth, least, divergence):
+    """Scores of a plain suffix tree: tuples of words, one context length after the other."""
+    symbols = [[*WORD.findall(lowered(text)), None] for _, text in rows]
+    pairs = defaultdict(Counter)
+    base = Counter()
+    for (i, _), ts in zip(rows, symbols):
+        if not held(i):
+            base.update(ts)
+            for at, t in enumerate(ts):
+                for d in range(1, min(depth, at + 1) + 1):
+                    pairs[tuple(["^", *ts[:at]][-d:])][t] += 1
+    n, v = sum(base.values()), len(base)
+
+    def chance(context, t, states):
+        p = (base[t] + 1) / (n + v + 1)
+        for d in range(1, len(context) + 1):
+            if (c := context[-d:]) in states:
+                after = pairs[c]
+                p = (after[t] + len(after) * p) / (sum(after.values()) + len(after))
+        return p
+
+    states = set()
+    for d in range(1, depth + 1):
+        new = set()
+        for context, after in pairs.items():
+            if len(context) == d and (m := sum(after.values())) >= least:
+                bits = 0
+                for t, c in after.items():
+                    p, kinds = chance(context, t, states), len(after) - (c == 1)
+                    bits += c * math.log2((c - 1 + kinds * p) / (m - 1 + kinds) / p)
+                if bits / m >= divergence:
+                    new.add(context)
+        states |= new
+    scores = [sum(math.log10(chance(tuple(["^", *ts[:at]][-depth:]), t, states)) for at, t in enumerate(ts)) for ts in symbols]
+    return base, symbols, states, scores
+
+
+@pytest.mark.parametrize("least, most, group", [(2, 400_000, 1_000_000), (2, 12, 500), (5, 40, 2000)])
+def test_suffix_tree_against_a_plain_one(spark, least, most, group):
+    """All depths, with and without hot contexts of every length."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 900).alias("text"), F.lit("x").alias("uid"))
+    odd = [(10_000, None), (10_001, ""), (None, "the of and"), (3, "repeated id"), (10_002, "a b " * 2000), *[(20_000 + i, "one line that many documents share word for word " * 2 + str(i)) for i in range(60)], (30_000, "one line that many")]
+    docs = docs.union(spark.createDataFrame([(*r, "y") for r in odd], docs.schema)).coalesce(2)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    rows = [(r.doc_id, [*WORD.findall(lowered(r.text)), " end"]) for r in docs.collect()]
-    c = Counter(t for i, ts in rows if not held(i) for t in ts)
+    c, symbols, states, scores = brute_tree(rows, held, 4, least, 0.01)
     n, v = sum(c.values()), len(c)
-    want = sorted(((i, held(i), len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 5)) for i, ts in rows), key=repr)
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got), key=repr) == want
-    out = [r for r in got if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    want = sorted(((i, held(i), len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 5), round(x, 5)) for (i, _), ts, x in zip(rows, symbols, scores)), key=repr)
+    got = suffix_tree.train_and_score(docs, least=least, most=most, group=group).collect()
+    assert [r[:6] for r in sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), r.score) for r in got), key=repr)] == [r[:6] for r in want]
+    assert sorted(r.score for r in got) == pytest.approx(sorted(r[6] for r in want), abs=1e-4)
+    assert {len(x) for x in states} == {1, 2, 3, 4}
+    if most > 10_000:
+        table = suffix_tree.states(docs, ~suffix_tree.folded("doc_id", 7, 2), least=least).groupBy("length").count().collect()
+        assert dict(map(tuple, table)) == Counter(map(len, states))
     assert suffix_tree.train_and_score(docs.limit(0)).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    """Over all known words and one unknown, probabilities after each state sum to one, against a plain model."""
-    pick = random.Random(4)
-    lines = [" ".join(pick.choices("a b c d".split(), k=8) + ["e", "f", "e", "f"] * 3) for _ in range(60)]
-    texts = spark.createDataFrame([(t,) for t in lines], "text string")
-    tree, model = suffix_tree.train(texts, least_share=0.01, divergence=0.01)
-    assert len(tree.keys[0])
-    words = [b"a", b"b", b"c", b"d", b"e", b"f", b"unknown", None]
-    h = np.array([suffix_tree.END if w is None else suffix_tree._hashes[w] for w in words])
-    counts = {r.key: r.c for r in model.collect()}
-    p0 = np.array([(counts.get(int(x), 0) + 1) / (tree.tokens + tree.words + 1) for x in h])
-    assert p0.sum() == pytest.approx(1)
-    for at, key in enumerate(tree.keys[0]):
-        look = suffix_tree.mix(np.full(len(h), key), h, 23)
-        p = (np.array([counts.get(int(x), 0) for x in look]) + tree.rest[0][at] * p0) / tree.total[0][at]
-        assert p.sum() == pytest.approx(1)
-    got = suffix_tree.score(texts.select(F.monotonically_increasing_id().alias("doc_id"), "text"), tree, model).agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+def test_symbols_do_not_depend_on_pieces(monkeypatch):
+    text = " ".join(random.Random(2).choices(["a", "B", "Cc", "12", "x" * 300], k=500))
+    ((_, whole),) = suffix_tree.symbols(text, 4)
+    monkeypatch.setattr(suffix_tree, "BLOCK", 97)
+    pieces = list(suffix_tree.symbols(text, 4))
+    assert len(pieces) > 50 and np.concatenate([h[lead:] for lead, h in pieces]).tolist() == whole.tolist()
+    at = 0
+    for lead, h in pieces:
+        assert lead == min(4, at) and h.tolist() == whole[at - lead : at - lead + len(h)].tolist()
+        at += len(h) - lead
+
+
+def test_suffix_tree_learns_and_sums_to_one():
+    """After each state, probabilities over all known symbols and one unknown sum to one."""
+    pick = np.random.default_rng(4)
+    symbol, n = np.tile([5, 6, 5, 7], 100) + (pick.random(400) < 0.1), 400
+    past = np.stack([np.r_[np.zeros(d, np.int64), symbol[:-d]] for d in (1, 2)])
+    kinds = np.append(np.unique(symbol), 99)
+    counts = kinds[:-1], np.array([(symbol == k).sum() for k in kinds[:-1]])
+    s = suffix_tree.Settings(2, 2, 0.01, n, len(kinds) - 1)
+    # one more position per state and symbol, which does not count
+    heads = past[:, 10:200:7]
+    asked = np.repeat(heads, len(kinds), axis=1), np.tile(kinds, heads.shape[1])
+    known, base, p, states = suffix_tree.grow(np.append(symbol, asked[1]), np.concatenate([past, asked[0]], axis=1), np.arange(n + len(asked[1])) < n, counts, s)
+    assert p[n:].reshape(-1, len(kinds)).sum(axis=1) == pytest.approx(1) and base[n:].reshape(-1, len(kinds)).sum(axis=1) == pytest.approx(1)
+    assert all(len(x[0]) for x in states) and np.log2(p[:n] / base[:n]).mean() > 0.5
 
 
 def vectors(spark, n=700, dims=16, seed=1):

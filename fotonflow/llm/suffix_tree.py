@@ -10,14 +10,14 @@ Every position of the corpus (a symbol and its history) is dealt by the last wor
 holds whole subtrees: it counts them, tests them and scores its own positions, and the tree is never gathered
 anywhere. Contexts too common for one group (hot ones) are counted by a Spark aggregation; their positions are
 dealt by a longer context, and the counts that a group needs of them and of single words are joined to it.
-Words and contexts are 64-bit hashes; positions travel as compressed columns, one row per group and chunk.
+Words are 48-bit hashes and contexts 64-bit ones; positions travel as compressed columns, one row per group and chunk.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,14 @@ from fotonflow.llm.common import materialize
 WORD_CACHE, KEPT_BYTES = 250_000, 48
 #: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 20
+#: Commonest words, whose hashes and counts every task holds (12 bytes each).
+COMMON = 1 << 20
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word) - (1 << 63)
+        h = xxhash.xxh64_intdigest(word) >> 16
         if len(self) < WORD_CACHE and len(word) <= KEPT_BYTES:
             self[word] = h
         return h
@@ -46,7 +48,7 @@ class WordHashes(dict):
 
 _hashes = WordHashes()
 #: The symbol after the last word, and the mark before the first one; no word holds a space.
-END = xxhash.xxh64_intdigest(b" end") - (1 << 63)
+END = xxhash.xxh64_intdigest(b" end") >> 16
 
 
 def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -80,22 +82,29 @@ def symbols(text: str | None, depth: int) -> Iterator[tuple[int, np.ndarray]]:
         stop = cut.start() if cut else len(data)
         words = data[at:stop].lower().split()
         now = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-        now = np.concatenate([held, now, [] if cut else [END]]).astype(np.int64) if len(held) else np.append(now, [] if cut else END).astype(np.int64)
+        now = np.concatenate([held, now, np.full(0 if cut else 1, END, np.int64)])
         yield len(held), now
         if not cut:
             return
         held, at = now[max(0, len(now) - depth) :], stop
 
 
-def packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) if len(x) else b""
+def packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Compressed bytes, first bytes of all numbers first; of rising numbers the steps."""
+    if not len(x):
+        return b""
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes, kind: type) -> np.ndarray:
+def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
     if not data:
         return np.zeros(0, kind)
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if rising else x
 
 
 def among(keys: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +135,9 @@ class Settings:
     tokens: int = 0
     words: int = 0
     hot: tuple[Hot, ...] = ()
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    common_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    """The commonest words by falling count."""
 
 
 @dataclass
@@ -134,6 +146,7 @@ class Chunk:
 
     uids: np.ndarray
     train: np.ndarray
+    ids: list[int | None]
     h: np.ndarray
     sizes: np.ndarray
     lead: np.ndarray
@@ -146,30 +159,32 @@ class Chunk:
         """For lengths 1, 2, ...: the context of each symbol, and whether it has one (the start is the oldest word)."""
         place, context = self.place(), None
         for d in range(1, depth + 1):
-            back = np.full(len(self.h), END)
+            back = np.full(len(self.h), END, np.int64)
             back[d:] = self.h[:-d] if d < len(self.h) else []
             back[place < d] = END
             context = back if context is None else longer(context, back)
             yield context, place >= d - 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Rows (uid, train, lead, words) as chunks of about CHUNK symbols."""
+def chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Chunk]:
+    """Rows (uid, train, doc_id, text) as chunks of about CHUNK symbols."""
     held: list[tuple] = []
     n = 0
 
     def whole() -> Chunk:
-        uids, train, lead, hs = zip(*held)
+        uids, train, ids, lead, hs = zip(*held)
         held.clear()
-        return Chunk(np.array(uids, np.int64), np.array(train, bool), np.concatenate(hs), np.array(list(map(len, hs))), np.array(lead))
-
-    for batch in batches:
-        for uid, train, lead, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            held.append((uid, train, lead, unpacked(words, np.int64)))
-            n += len(held[-1][3])
-            if n >= CHUNK:
-                yield whole()
-                n = 0
+        return Chunk(np.array(uids, np.int64), np.array(train, bool), list(ids), np.concatenate(hs), np.array(list(map(len, hs))), np.array(lead))
+
+    for large in batches:
+        for batch in small_batches(large, 3):
+            for uid, train, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for lead, h in symbols(text, depth):
+                    held.append((uid, train, doc, lead, h))
+                    n += len(h)
+                    if n >= CHUNK:
+                        yield whole()
+                        n = 0
     if held:
         yield whole()
 
@@ -178,25 +193,9 @@ def folded(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _symbol_table(docs: DataFrame, train: Column, depth: int) -> DataFrame:
-    """(uid, train, lead, words, doc_id, n), one row per piece of a document; all later passes read it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), train.alias("train"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = ["uid", "train", "lead", "words", "doc_id", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(whole, 3):
-                owner, lead, words, n = [], [], [], []
-                for i, text in enumerate(batch.column(3).to_pylist()):
-                    for first, h in symbols(text, depth):
-                        owner.append(i)
-                        lead.append(first)
-                        words.append(packed(h))
-                        n.append(len(h) - first)
-                uid, flag, doc = (batch.column(c).take(pa.array(owner, pa.int64())) for c in (0, 1, 2))
-                yield pa.RecordBatch.from_arrays([uid, flag, pa.array(lead, pa.int64()), pa.array(words, pa.binary()), doc, pa.array(n, pa.int64())], names=names)
-
-    return materialize(rows.mapInArrow(run, "uid long, train boolean, lead long, words binary, doc_id long, n long"), "symbols")
+def _rows(docs: DataFrame, train: Column) -> DataFrame:
+    """(uid, train, doc_id, text) of all documents."""
+    return docs.select(F.monotonically_increasing_id().alias("uid"), train.alias("train"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,22 +206,22 @@ def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return a[new], b[new], np.diff(np.append(new, len(a)))
 
 
-def _word_counts(table: DataFrame) -> DataFrame:
+def _word_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            words, c = np.unique(chunk.h[chunk.place() >= np.repeat(chunk.lead, chunk.sizes)], return_counts=True)
+        for chunk in chunks(batches, 0):
+            words, c = np.unique(chunk.h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(c)], names=["word", "c"])
 
-    return table.select("uid", "train", "lead", "words").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _hot_counts(table: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
+def _hot_counts(rows: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
     """(kind, context, other, c): kind 0 has the symbols after each hot context of length d, kind 1 the contexts that are a word longer, with their hot suffix."""
-    sent = table.sparkSession.sparkContext.broadcast(keys)
+    sent = rows.sparkSession.sparkContext.broadcast(keys)
     names = ["kind", "context", "other", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, d + 1):
             new = chunk.place() >= np.repeat(chunk.lead, chunk.sizes)
             levels = list(chunk.histories(d + 1))
             context, valid = levels[d - 1]
@@ -232,7 +231,7 @@ def _hot_counts(table: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
             for kind, (x, y, c) in enumerate((_counted(context[some], chunk.h[some]), _counted(above[more], context[more]))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind)), *map(pa.array, (x, y, c))], names=names)
 
-    found = table.select("uid", "train", "lead", "words").mapInArrow(run, "kind long, context long, other long, c long")
+    found = rows.mapInArrow(run, "kind long, context long, other long, c long")
     return found.groupBy("kind", "context", "other").agg(F.sum("c").alias("c"))
 
 
@@ -241,9 +240,9 @@ def _left_out(c: object, distinct: object, n: object, p: object, alone: object)
     return (c - 1 + (distinct - alone) * p) / (n - 1 + distinct - alone)
 
 
-def _hot_levels(table: DataFrame, words: DataFrame, base: Settings, most: int) -> tuple[tuple[Hot, ...], DataFrame]:
+def _hot_levels(rows: DataFrame, words: DataFrame, base: Settings, most: int) -> tuple[tuple[Hot, ...], DataFrame]:
     """The hot contexts by length, tested, and (key, c): the counts of single words and of symbols after hot contexts."""
-    spark = table.sparkSession
+    spark = rows.sparkSession
     known = words.select(F.col("word").alias("key"), "c")
     below = words.select(F.col("word").alias("symbol"), ((F.col("c") + 1) / F.lit(float(base.tokens + base.words + 1))).alias("p"))
     candidates = words.where(F.col("c") > most).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"))
@@ -255,7 +254,7 @@ def _hot_levels(table: DataFrame, words: DataFrame, base: Settings, most: int) -
         keys = np.unique(named["context"].to_numpy(np.int64))
         if not len(keys):
             break
-        counts = materialize(_hot_counts(table, d, keys), f"hot{d}")
+        counts = materialize(_hot_counts(rows, d, keys), f"hot{d}")
         after = counts.where("kind = 0").select("context", F.col("other").alias("symbol"), "c")
         sums = after.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
         tested = after.join(F.broadcast(sums), "context")
@@ -292,19 +291,24 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
     return [r[0] for r in spark.range(40 * n + 400).groupBy(place.alias("place")).agg(F.min("id").alias("id")).select("id").collect()]
 
 
-DEALT = "dest long, chunk long, uids binary, train binary, dictionary binary, codes binary, docs binary"
+DEALT = "dest long, chunk long, uids binary, ids binary, flags binary, dictionary binary, codes binary, docs binary"
+
 
+def _deal(rows: DataFrame, parts: int, settings: Settings) -> DataFrame:
+    """All positions, as compressed columns by group and chunk.
 
-def _deal(table: DataFrame, parts: int, settings: Settings) -> DataFrame:
-    """All positions, as compressed columns by group and chunk; code 0 means that a history is not that long."""
-    spark = table.sparkSession
+    Codes: 0 where a history is not that long, then the commonest words, then the row's own dictionary.
+    """
+    spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(settings)
     # many small groups even out by themselves
     places = np.array(_spread(spark, parts) if parts <= 2048 else range(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sent.value
-        for chunk in chunks(batches):
+        order = np.argsort(s.common)
+        common = s.common[order]
+        for chunk in chunks(batches, s.depth):
             place, piece = chunk.place(), np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
             new = np.flatnonzero(place >= chunk.lead[piece])
             # where all contexts are hot, the document decides
@@ -318,47 +322,56 @@ def _deal(table: DataFrame, parts: int, settings: Settings) -> DataFrame:
                 if not open_.any():
                     break
             dest = (mix(home, home, 31).view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            words, code = np.unique(np.append(chunk.h, END), return_inverse=True)
-            words, code = np.concatenate([[0], words]), (code + 1).astype(np.int32)
+            words, inverse = np.unique(np.append(chunk.h, END), return_inverse=True)
+            some, at = among(words, common)
+            own = words[~some]
+            code = np.empty(len(words), np.int32)
+            code[some], code[~some] = 1 + order[at[some]], 1 + len(common) + np.arange(len(own))
+            code = code[inverse]
             code, last = code[:-1], code[-1]
-            table_ = np.zeros((s.depth + 1, len(new)), np.int32)
-            table_[0] = code[new]
+            table = np.zeros((s.depth + 1, len(new)), np.int32)
+            table[0] = code[new]
             for d in range(1, s.depth + 1):
-                table_[d] = np.where(place[new] >= d, code[np.maximum(new - d, 0)], np.where(place[new] == d - 1, last, 0))
-            order = np.argsort(dest[new], kind="stable")
-            sorted_ = dest[new][order]
+                table[d] = np.where(place[new] >= d, code[np.maximum(new - d, 0)], np.where(place[new] == d - 1, last, 0))
+            nulls = np.array([x is None for x in chunk.ids])
+            ids = np.array([x or 0 for x in chunk.ids], np.int64)
+            by_group = np.argsort(dest[new], kind="stable")
+            sorted_ = dest[new][by_group]
             bounds = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(new) else [0]
             out: list[tuple] = []
             for i, j in zip(bounds[:-1], bounds[1:]):
-                codes, docs = table_[:, order[i:j]], piece[new[order[i:j]]]
-                used = np.zeros(len(words), bool)
-                used[0] = True
-                used[codes] = True
-                seen = np.zeros(len(chunk.uids), bool)
+                codes, docs = table[:, by_group[i:j]], piece[new[by_group[i:j]]]
+                used, rare = np.zeros(len(own), bool), codes > len(common)
+                used[codes[rare] - 1 - len(common)] = True
+                codes[rare] = len(common) + np.cumsum(used)[codes[rare] - 1 - len(common)]
+                seen = np.zeros(len(ids), bool)
                 seen[docs] = True
-                small, few = (np.cumsum(x, dtype=np.int32) - 1 for x in (used, seen))
-                out.append((places[sorted_[i]], chunk.uids[0], *map(packed, (chunk.uids[seen], chunk.train[seen], words[used], small[codes].ravel().astype(np.int32), few[docs].astype(np.int32)))))
+                few = np.cumsum(seen, dtype=np.int32)[docs] - 1
+                flags = (chunk.train[seen] + 2 * nulls[seen]).astype(np.int8)
+                out.append((places[sorted_[i]], chunk.uids[0], packed(chunk.uids[seen], True), packed(ids[seen]), packed(flags), packed(own[used], True), packed(codes.ravel()), packed(few, True)))
             if out:
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in DEALT.split(", ")])
 
-    dealt = table.select("uid", "train", "lead", "words").mapInArrow(run, DEALT)
-    return dealt.repartition(parts, "dest")
+    return rows.mapInArrow(run, DEALT).repartition(parts, "dest")
 
 
-def _positions(row: tuple, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _positions(row: tuple, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A dealt row's symbols, histories (depth x positions, 0 where there is none) and documents."""
-    dictionary, codes = unpacked(row[0], np.int64), unpacked(row[1], np.int32).reshape(depth + 1, -1)
-    return dictionary[codes[0]], dictionary[codes[1:]], unpacked(row[2], np.int32)
+    dictionary = np.concatenate([[0], s.common, unpacked(row[0], np.int64, True)])
+    codes = unpacked(row[1], np.int32).reshape(s.depth + 1, -1)
+    return dictionary[codes[0]], dictionary[codes[1:]], unpacked(row[2], np.int32, True)
 
 
 def _asks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    """The keys (single words, symbols after hot contexts) of which each group needs the counts."""
+    """The keys (rarer words, symbols after hot contexts) of which each group needs the counts."""
     known: dict[int, list[np.ndarray]] = {}
+    common = np.sort(s.common)
     for batch in batches:
         for dest, *row in zip(*(batch.column(n).to_pylist() for n in ("dest", "dictionary", "codes", "docs"))):
-            symbol, past, _ = _positions(row, s.depth)
-            keys, context, live = [pd.unique(symbol)], None, np.arange(len(symbol))
+            symbol, past, _ = _positions(row, s)
+            words = pd.unique(symbol)
+            keys, context, live = [words[~among(words, common)[0]]], None, np.arange(len(symbol))
             for d, hot in enumerate(s.hot):
                 context = past[0] if d == 0 else longer(context, past[d])
                 live = live[(past[d][live] != 0) & among(context[live], hot.keys)[0]]
@@ -417,76 +430,89 @@ def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[
 
 
 def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) -> pd.DataFrame:
-    """Per dealt row: the documents' sums of known symbols and of both log-probabilities; or the group's states."""
-    rows = [_positions(row, s.depth) for row in zip(pdf["dictionary"], pdf["codes"], pdf["docs"])]
-    order = np.argsort(counts["key"].to_numpy(np.int64))
-    answers = tuple(counts[c].to_numpy(np.int64)[order] for c in ("key", "c"))
-    uids, train = [unpacked(x, np.int64) for x in pdf["uids"]], [unpacked(x, bool) for x in pdf["train"]]
+    """Per dealt row: the documents' numbers of symbols and of known ones, and the sums of both log-probabilities; or the group's states."""
+    rows = [_positions(row, s) for row in zip(pdf["dictionary"], pdf["codes"], pdf["docs"])]
+    keys = np.concatenate([s.common, counts["key"].to_numpy(np.int64)])
+    order = np.argsort(keys)
+    answers = keys[order], np.concatenate([s.common_counts, counts["c"].to_numpy(np.int64)])[order]
+    flags = [unpacked(x, np.int8) for x in pdf["flags"]]
     symbol, past = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows], axis=1)
-    flags = np.concatenate([t[x[2]] for t, x in zip(train, rows)])
-    known, base, p, found = grow(symbol, past, flags, answers, s)
+    train = np.concatenate([f[x[2]] % 2 == 1 for f, x in zip(flags, rows)])
+    known, base, p, found = grow(symbol, past, train, answers, s)
     if states:
         return pd.DataFrame({k: np.concatenate([level[i] for level in found]) for i, k in enumerate(("length", "context", "n", "distinct_symbols", "bits"))})
     out, at = [], 0
-    for (_, _, docs), ids, chunk in zip(rows, uids, pdf["chunk"]):
+    values = known.astype(np.float64), np.log10(base), np.log10(p)
+    for (_, _, docs), chunk, uids, ids, flag in zip(rows, pdf["chunk"], pdf["uids"], pdf["ids"], flags):
         part = slice(at, at + len(docs))
         at += len(docs)
-        sums = [np.bincount(docs, x[part], len(ids)) for x in (known.astype(float), np.log10(base), np.log10(p))]
-        out.append((chunk, packed(ids), packed(np.concatenate(sums))))
-    return pd.DataFrame(out, columns=["chunk", "uids", "sums"])
+        n = np.bincount(docs, minlength=len(flag)).astype(np.int32)
+        sums = [np.bincount(docs, x[part], len(flag)) for x in values]
+        out.append((chunk, uids, ids, packed(flag // 2), packed(n), packed(sums[0].astype(np.int32)), packed(sums[1]), packed(sums[2].astype(np.float32))))
+    return pd.DataFrame(out, columns=SUMS)
 
 
-def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of one chunk's documents over all groups; a chunk has a bounded number of symbols."""
-    ids = [unpacked(x, np.int64) for x in pdf["uids"]]
-    where, names = pd.factorize(np.concatenate(ids))
-    sums = np.concatenate([unpacked(x, np.float64).reshape(3, -1) for x in pdf["sums"]], axis=1)
-    known, base, score = (np.bincount(where, x) for x in sums)
-    return pd.DataFrame({"uid": names, "known": known.round().astype(np.int64), "base_score": base, "score": score})
+SUMS = ["chunk", "uids", "ids", "nulls", "n", "known", "base", "score"]
 
 
-def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame, Settings]:
-    """The symbol table, the dealt positions, the counts joined to their groups, and the settings."""
+def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one chunk's documents over all groups; a chunk has a bounded number of symbols."""
+    join = lambda name, kind, *how: np.concatenate([unpacked(x, kind, *how) for x in pdf[name]])
+    where, names = pd.factorize(join("uids", np.int64, True))
+    first = np.zeros(len(names), np.int64)
+    first[where] = np.arange(len(where))
+    ids, nulls = join("ids", np.int64)[first], join("nulls", np.int8)[first] == 1
+    sums = join("n", np.int32), join("known", np.int32), join("base", np.float64), join("score", np.float32).astype(np.float64)
+    n, known, base, score = (np.bincount(where, x) for x in sums)
+    doc_id = pd.array(ids, "Int64")
+    doc_id[nulls] = pd.NA
+    return pd.DataFrame({"uid": names, "doc_id": doc_id, "n": n.astype(np.int64), "known": known.astype(np.int64), "base_score": base, "score": score})
+
+
+def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int, common: int) -> tuple[DataFrame, DataFrame, Settings]:
+    """The dealt positions, the counts joined to their groups, and the settings."""
     if depth < 1 or least < 2:
         raise ValueError("contexts have at least one word and occur at least twice")
     spark = docs.sparkSession
-    table = _symbol_table(docs, train, depth)
-    training = table.where("train")
+    rows = _rows(docs, train)
+    training = rows.where("train")
     words = materialize(_word_counts(training), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     s = Settings(depth, least, divergence, int(tokens), int(distinct))
     # at most 2**20 hot contexts of each length, however large the corpus
     hot, known = _hot_levels(training, words, s, max(most, s.tokens >> 20))
-    s = Settings(depth, least, divergence, s.tokens, s.words, hot)
-    size = table.agg(F.sum("n")).first()[0] or 0
+    top = words.orderBy(F.desc("c"), "word").limit(common).toPandas()
+    s = replace(s, hot=hot, common=top["word"].to_numpy(np.int64), common_counts=top["c"].to_numpy(np.int64))
+    size = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+")).cast("long") + 1)).first()[0] or 0
     # at least the session's number of partitions, so that grouping needs no second exchange
     parts = max(1, -(-size // group), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _deal(table, parts, s)
+    dealt = _deal(rows, parts, s)
     sent = spark.sparkContext.broadcast(s)
     asked = dealt.mapInArrow(lambda batches: _asks(batches, sent.value), "dest long, key long")
-    return table, dealt, asked.join(known, "key").select("dest", "key", "c"), s
+    return dealt, asked.join(known, "key").select("dest", "key", "c"), s
 
 
-def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000) -> DataFrame:
+def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
     """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); training uses all rows outside the fold.
 
     ``least`` and ``divergence`` decide which contexts of up to ``depth`` words are states. Contexts met more than ``most``
-    times are counted apart, and a group has about ``group`` positions; neither changes a result. A null text counts as
-    empty: one symbol, its end. Rows with a null doc_id belong to training; rows with equal or null ids are scored apart;
-    other columns are not read; an empty table gives no rows.
+    times are counted apart, a group has about ``group`` positions, and the counts of ``common`` words travel as a broadcast;
+    none of these changes a result. A null text counts as empty: one symbol, its end. Rows with a null doc_id belong to
+    training; rows with equal or null ids are scored apart; other columns are not read; an empty table gives no rows.
+    A group's part of ``score`` is carried in single precision and added in double.
     """
-    table, dealt, answers, s = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group)
+    dealt, answers, s = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group, common)
     sent = docs.sparkSession.sparkContext.broadcast(s)
-    sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({"chunk": [], "uids": [], "sums": []}), "chunk long, uids binary, sums binary")
-    parts = sums.groupBy("chunk").applyInPandas(_documents, "uid long, known long, base_score double, score double")
-    rows = parts.groupBy("uid").agg(F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    named = table.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"))
-    return named.join(rows, "uid").select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(s.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({x: [] for x in SUMS}), "chunk long, uids binary, ids binary, nulls binary, n binary, known binary, base binary, score binary")
+    parts = sums.groupBy("chunk").applyInPandas(_documents, "uid long, doc_id long, n long, known long, base_score double, score double")
+    # a document cut into pieces may lie in several chunks
+    rows = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(s.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000) -> DataFrame:
+def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
     """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
-    _, dealt, answers, s = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group)
+    dealt, answers, s = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
     sent = docs.sparkSession.sparkContext.broadcast(s)
     columns = "length long, context long, n double, distinct_symbols double, bits double"
     return dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, True) if len(a) else pd.DataFrame({x.split()[0]: [] for x in columns.split(", ")}), columns)

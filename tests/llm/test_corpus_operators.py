@@ -177,8 +177,8 @@ def brute_tree(rows, held, depth, least, divergence):
     return base, symbols, states, scores
 
 
-@pytest.mark.parametrize("least, most, group", [(2, 400_000, 1_000_000), (2, 12, 500), (5, 40, 2000)])
-def test_suffix_tree_against_a_plain_one(spark, least, most, group):
+@pytest.mark.parametrize("least, most, group, common", [(2, 400_000, 1_000_000, 1 << 20), (2, 12, 500, 30), (5, 40, 2000, 0)])
+def test_suffix_tree_against_a_plain_one(spark, least, most, group, common):
     """All depths, with and without hot contexts of every length."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.substring("text", 1, 900).alias("text"), F.lit("x").alias("uid"))
     odd = [(10_000, None), (10_001, ""), (None, "the of and"), (3, "repeated id"), (10_002, "a b " * 2000), *[(20_000 + i, "one line that many documents share word for word " * 2 + str(i)) for i in range(60)], (30_000, "one line that many")]
@@ -188,7 +188,7 @@ def test_suffix_tree_against_a_plain_one(spark, least, most, group):
     c, symbols, states, scores = brute_tree(rows, held, 4, least, 0.01)
     n, v = sum(c.values()), len(c)
     want = sorted(((i, held(i), len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 5), round(x, 5)) for (i, _), ts, x in zip(rows, symbols, scores)), key=repr)
-    got = suffix_tree.train_and_score(docs, least=least, most=most, group=group).collect()
+    got = suffix_tree.train_and_score(docs, least=least, most=most, group=group, common=common).collect()
     assert [r[:6] for r in sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), r.score) for r in got), key=repr)] == [r[:6] for r in want]
     assert sorted(r.score for r in got) == pytest.approx(sorted(r[6] for r in want), abs=1e-4)
     assert {len(x) for x in states} == {1, 2, 3, 4}

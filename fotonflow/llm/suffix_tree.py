@@ -34,7 +34,7 @@ WORD_CACHE, KEPT_BYTES = 250_000, 48
 #: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 #: Commonest words, whose hashes and counts every task holds (12 bytes each).
-COMMON = 1 << 20
+COMMON = 1 << 18
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
@@ -215,6 +215,15 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _commonest(words: DataFrame, most: int) -> pd.DataFrame:
+    """Words by falling count, at most ``most`` of them: those above a bound that a histogram of logarithms gives."""
+    level = F.floor(F.log2("c") * 64)
+    sizes = words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).toPandas().sort_values("level", ascending=False)
+    levels = sizes["level"][sizes["n"].cumsum() <= most]
+    found = words.where(level >= int(levels.min())) if len(levels) else words.limit(0)
+    return found.toPandas().sort_values(["c", "word"], ascending=[False, True])
+
+
 def _hot_counts(rows: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
     """(kind, context, other, c): kind 0 has the symbols after each hot context of length d, kind 1 the contexts that are a word longer, with their hot suffix."""
     sent = rows.sparkSession.sparkContext.broadcast(keys)
@@ -481,7 +490,7 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     s = Settings(depth, least, divergence, int(tokens), int(distinct))
     # at most 2**20 hot contexts of each length, however large the corpus
     hot, known = _hot_levels(training, words, s, max(most, s.tokens >> 20))
-    top = words.orderBy(F.desc("c"), "word").limit(common).toPandas()
+    top = _commonest(words, common)
     s = replace(s, hot=hot, common=top["word"].to_numpy(np.int64), common_counts=top["c"].to_numpy(np.int64))
     size = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+")).cast("long") + 1)).first()[0] or 0
     # at least the session's number of partitions, so that grouping needs no second exchange

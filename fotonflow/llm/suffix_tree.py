@@ -34,7 +34,7 @@ WORD_CACHE, KEPT_BYTES = 250_000, 48
 #: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 #: Commonest words, whose hashes and counts every task holds (12 bytes each).
-COMMON = 1 << 18
+COMMON = 1 << 20
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
@@ -300,13 +300,14 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
     return [r[0] for r in spark.range(40 * n + 400).groupBy(place.alias("place")).agg(F.min("id").alias("id")).select("id").collect()]
 
 
-DEALT = "dest long, chunk long, uids binary, ids binary, flags binary, dictionary binary, codes binary, docs binary"
+DEALT = "dest long, chunk long, uids binary, ids binary, nulls binary, dictionary binary, codes binary, docs binary"
 
 
 def _deal(rows: DataFrame, parts: int, settings: Settings) -> DataFrame:
-    """All positions, as compressed columns by group and chunk.
+    """All positions, as compressed columns by group and chunk; and one row per chunk that names its documents.
 
     Codes: 0 where a history is not that long, then the commonest words, then the row's own dictionary.
+    ``docs`` holds twice the place of the document in its chunk, and one more if it is in training.
     """
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(settings)
@@ -344,47 +345,40 @@ def _deal(rows: DataFrame, parts: int, settings: Settings) -> DataFrame:
                 table[d] = np.where(place[new] >= d, code[np.maximum(new - d, 0)], np.where(place[new] == d - 1, last, 0))
             nulls = np.array([x is None for x in chunk.ids])
             ids = np.array([x or 0 for x in chunk.ids], np.int64)
+            name = chunk.uids[:1]
+            docs = (2 * np.arange(len(ids)) + chunk.train)[piece[new]]
             by_group = np.argsort(dest[new], kind="stable")
             sorted_ = dest[new][by_group]
             bounds = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(new) else [0]
-            out: list[tuple] = []
+            out = [(places[int(mix(name, name, 31).view(np.uint64)[0] % np.uint64(parts))], name[0], packed(chunk.uids, True), packed(ids), packed(nulls), b"", b"", b"")]
             for i, j in zip(bounds[:-1], bounds[1:]):
-                codes, docs = table[:, by_group[i:j]], piece[new[by_group[i:j]]]
+                codes = table[:, by_group[i:j]]
                 used, rare = np.zeros(len(own), bool), codes > len(common)
                 used[codes[rare] - 1 - len(common)] = True
                 codes[rare] = len(common) + np.cumsum(used)[codes[rare] - 1 - len(common)]
-                seen = np.zeros(len(ids), bool)
-                seen[docs] = True
-                few = np.cumsum(seen, dtype=np.int32)[docs] - 1
-                flags = (chunk.train[seen] + 2 * nulls[seen]).astype(np.int8)
-                out.append((places[sorted_[i]], chunk.uids[0], packed(chunk.uids[seen], True), packed(ids[seen]), packed(flags), packed(own[used], True), packed(codes.ravel()), packed(few, True)))
-            if out:
-                columns = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in DEALT.split(", ")])
+                out.append((places[sorted_[i]], name[0], b"", b"", b"", packed(own[used], True), packed(codes.ravel()), packed(docs[by_group[i:j]], True)))
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in DEALT.split(", ")])
 
     return rows.mapInArrow(run, DEALT).repartition(parts, "dest")
 
 
-def _positions(row: tuple, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A dealt row's symbols, histories (depth x positions, 0 where there is none) and documents."""
-    dictionary = np.concatenate([[0], s.common, unpacked(row[0], np.int64, True)])
-    codes = unpacked(row[1], np.int32).reshape(s.depth + 1, -1)
-    return dictionary[codes[0]], dictionary[codes[1:]], unpacked(row[2], np.int32, True)
-
-
 def _asks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     """The keys (rarer words, symbols after hot contexts) of which each group needs the counts."""
     known: dict[int, list[np.ndarray]] = {}
-    common = np.sort(s.common)
+    first = 1 + len(s.common)
     for batch in batches:
-        for dest, *row in zip(*(batch.column(n).to_pylist() for n in ("dest", "dictionary", "codes", "docs"))):
-            symbol, past, _ = _positions(row, s)
-            words = pd.unique(symbol)
-            keys, context, live = [words[~among(words, common)[0]]], None, np.arange(len(symbol))
+        for dest, dictionary, codes in zip(*(batch.column(n).to_pylist() for n in ("dest", "dictionary", "codes"))):
+            rare, codes = unpacked(dictionary, np.int64, True), unpacked(codes, np.int32).reshape(s.depth + 1, -1)
+            keys = [rare[pd.unique(codes[0][codes[0] >= first]) - first]]
+            words = np.concatenate([[0], s.common, rare])
+            symbol, context = codes[0], None
             for d, hot in enumerate(s.hot):
-                context = past[0] if d == 0 else longer(context, past[d])
-                live = live[(past[d][live] != 0) & among(context[live], hot.keys)[0]]
-                keys.append(pd.unique(pair(context[live], symbol[live])))
+                past = words[codes[d + 1]]
+                context = past if d == 0 else longer(context, past)
+                live = np.flatnonzero((past != 0) & among(context, hot.keys)[0])
+                codes, symbol, context = codes[:, live], symbol[live], context[live]
+                keys.append(pd.unique(pair(context, words[symbol])))
             known[dest] = [pd.unique(np.concatenate([*known.get(dest, []), *keys]))]
     for dest, (keys,) in known.items():
         for at in range(0, len(keys), 1 << 16):
@@ -438,44 +432,47 @@ def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[
     return c0 > 0, base, p, states
 
 
+SUMS = ["chunk", "uids", "ids", "nulls", "docs", "n", "known", "base", "score"]
+#: Log-probabilities are summed in steps of 2**-26 within a group.
+STEP = 2.0**-26
+
+
 def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) -> pd.DataFrame:
     """Per dealt row: the documents' numbers of symbols and of known ones, and the sums of both log-probabilities; or the group's states."""
-    rows = [_positions(row, s) for row in zip(pdf["dictionary"], pdf["codes"], pdf["docs"])]
     keys = np.concatenate([s.common, counts["key"].to_numpy(np.int64)])
     order = np.argsort(keys)
     answers = keys[order], np.concatenate([s.common_counts, counts["c"].to_numpy(np.int64)])[order]
-    flags = [unpacked(x, np.int8) for x in pdf["flags"]]
-    symbol, past = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows], axis=1)
-    train = np.concatenate([f[x[2]] % 2 == 1 for f, x in zip(flags, rows)])
-    known, base, p, found = grow(symbol, past, train, answers, s)
+    docs = [unpacked(x, np.int64, True) for x in pdf["docs"]]
+    stops = np.cumsum(list(map(len, docs)))
+    words = np.empty((s.depth + 1, stops[-1]), np.int64)
+    for dictionary, codes, n, stop in zip(pdf["dictionary"], pdf["codes"], map(len, docs), stops):
+        table = np.concatenate([[0], s.common, unpacked(dictionary, np.int64, True)])
+        words[:, stop - n : stop] = table[unpacked(codes, np.int32).reshape(s.depth + 1, -1)]
+    train = np.concatenate(docs) % 2 == 1
+    known, base, p, found = grow(words[0], words[1:], train, answers, s)
     if states:
         return pd.DataFrame({k: np.concatenate([level[i] for level in found]) for i, k in enumerate(("length", "context", "n", "distinct_symbols", "bits"))})
-    out, at = [], 0
-    values = known.astype(np.float64), np.log10(base), np.log10(p)
-    for (_, _, docs), chunk, uids, ids, flag in zip(rows, pdf["chunk"], pdf["uids"], pdf["ids"], flags):
-        part = slice(at, at + len(docs))
-        at += len(docs)
-        n = np.bincount(docs, minlength=len(flag)).astype(np.int32)
-        sums = [np.bincount(docs, x[part], len(flag)) for x in values]
-        out.append((chunk, uids, ids, packed(flag // 2), packed(n), packed(sums[0].astype(np.int32)), packed(sums[1]), packed(sums[2].astype(np.float32))))
+    out = []
+    values = known.astype(np.float64), np.log10(base) / STEP, np.log10(p) / STEP
+    for chunk, uids, ids, nulls, which, stop in zip(pdf["chunk"], pdf["uids"], pdf["ids"], pdf["nulls"], docs, stops):
+        if len(which):
+            first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            sums = [np.rint(np.add.reduceat(x[stop - len(which) : stop], first)).astype(np.int64) for x in values]
+            out.append((chunk, b"", b"", b"", *map(packed, (which[first] // 2, np.diff(np.append(first, len(which))), *sums))))
+        if len(uids):
+            out.append((chunk, uids, ids, nulls, b"", b"", b"", b"", b""))
     return pd.DataFrame(out, columns=SUMS)
 
 
-SUMS = ["chunk", "uids", "ids", "nulls", "n", "known", "base", "score"]
-
-
 def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
     """The sums of one chunk's documents over all groups; a chunk has a bounded number of symbols."""
     join = lambda name, kind, *how: np.concatenate([unpacked(x, kind, *how) for x in pdf[name]])
-    where, names = pd.factorize(join("uids", np.int64, True))
-    first = np.zeros(len(names), np.int64)
-    first[where] = np.arange(len(where))
-    ids, nulls = join("ids", np.int64)[first], join("nulls", np.int8)[first] == 1
-    sums = join("n", np.int32), join("known", np.int32), join("base", np.float64), join("score", np.float32).astype(np.float64)
-    n, known, base, score = (np.bincount(where, x) for x in sums)
+    uids, ids, nulls = join("uids", np.int64, True), join("ids", np.int64), join("nulls", bool)
+    where = join("docs", np.int64)
+    total = lambda name: np.bincount(where, join(name, np.int64), len(uids))
     doc_id = pd.array(ids, "Int64")
     doc_id[nulls] = pd.NA
-    return pd.DataFrame({"uid": names, "doc_id": doc_id, "n": n.astype(np.int64), "known": known.astype(np.int64), "base_score": base, "score": score})
+    return pd.DataFrame({"uid": uids, "doc_id": doc_id, "n": total("n").astype(np.int64), "known": total("known").astype(np.int64), "base_score": total("base") * STEP, "score": total("score") * STEP})
 
 
 def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int, common: int) -> tuple[DataFrame, DataFrame, Settings]:
@@ -501,25 +498,24 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     return dealt, asked.join(known, "key").select("dest", "key", "c"), s
 
 
-def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
+def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
     """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); training uses all rows outside the fold.
 
     ``least`` and ``divergence`` decide which contexts of up to ``depth`` words are states. Contexts met more than ``most``
     times are counted apart, a group has about ``group`` positions, and the counts of ``common`` words travel as a broadcast;
     none of these changes a result. A null text counts as empty: one symbol, its end. Rows with a null doc_id belong to
     training; rows with equal or null ids are scored apart; other columns are not read; an empty table gives no rows.
-    A group's part of ``score`` is carried in single precision and added in double.
     """
     dealt, answers, s = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group, common)
     sent = docs.sparkSession.sparkContext.broadcast(s)
-    sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({x: [] for x in SUMS}), "chunk long, uids binary, ids binary, nulls binary, n binary, known binary, base binary, score binary")
+    sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({x: [] for x in SUMS}), "chunk long, uids binary, ids binary, nulls binary, docs binary, n binary, known binary, base binary, score binary")
     parts = sums.groupBy("chunk").applyInPandas(_documents, "uid long, doc_id long, n long, known long, base_score double, score double")
     # a document cut into pieces may lie in several chunks
     rows = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
     return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(s.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
+def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
     """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
     dealt, answers, s = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
     sent = docs.sparkSession.sparkContext.broadcast(s)

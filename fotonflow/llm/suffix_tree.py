@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ WORD_CACHE, KEPT_BYTES = 250_000, 48
 #: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 #: Commonest words, whose hashes and counts every task holds (12 bytes each).
-COMMON = 1 << 20
+COMMON = 1 << 19
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
@@ -224,8 +225,11 @@ def _commonest(words: DataFrame, most: int) -> pd.DataFrame:
     return found.toPandas().sort_values(["c", "word"], ascending=[False, True])
 
 
-def _hot_counts(rows: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
-    """(kind, context, other, c): kind 0 has the symbols after each hot context of length d, kind 1 the contexts that are a word longer, with their hot suffix."""
+def _hot_counts(rows: DataFrame, d: int, keys: np.ndarray, share: float) -> DataFrame:
+    """(kind, context, other, c): kind 0 has the symbols after each context given, kind 1 the contexts that are a word longer, with their suffix.
+
+    Of kind 1 a chunk only tells those with half of ``share`` of its symbols, so what is untold of a context is less than half of ``share``.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(keys)
     names = ["kind", "context", "other", "c"]
 
@@ -237,7 +241,9 @@ def _hot_counts(rows: DataFrame, d: int, keys: np.ndarray) -> DataFrame:
             some = np.flatnonzero(new & valid & among(context, sent.value)[0])
             above, reaches = levels[d]
             more = some[reaches[some]]
-            for kind, (x, y, c) in enumerate((_counted(context[some], chunk.h[some]), _counted(above[more], context[more]))):
+            told = _counted(above[more], context[more])
+            often = told[2] >= share / 2 * np.count_nonzero(new)
+            for kind, (x, y, c) in enumerate((_counted(context[some], chunk.h[some]), tuple(x[often] for x in told))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind)), *map(pa.array, (x, y, c))], names=names)
 
     found = rows.mapInArrow(run, "kind long, context long, other long, c long")
@@ -255,17 +261,17 @@ def _hot_levels(rows: DataFrame, words: DataFrame, base: Settings, most: int) ->
     known = words.select(F.col("word").alias("key"), "c")
     below = words.select(F.col("word").alias("symbol"), ((F.col("c") + 1) / F.lit(float(base.tokens + base.words + 1))).alias("p"))
     candidates = words.where(F.col("c") > most).select(F.col("word").alias("context"), F.lit(None).cast("long").alias("suffix"))
-    # a word is a context as often as it is not the last symbol; the mark of the start stands for the end here
+    # a word is a context as often as a symbol, since each is followed by one; the mark of the start comes as often as the end
     out: list[Hot] = []
     for d in range(1, base.depth + 1):
-        # at most tokens / most rows
+        # at most 2 * tokens / most rows
         named = candidates.toPandas()
         keys = np.unique(named["context"].to_numpy(np.int64))
         if not len(keys):
             break
-        counts = materialize(_hot_counts(rows, d, keys), f"hot{d}")
+        counts = materialize(_hot_counts(rows, d, keys, most / base.tokens), f"hot{d}")
         after = counts.where("kind = 0").select("context", F.col("other").alias("symbol"), "c")
-        sums = after.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
+        sums = after.groupBy("context").agg(F.sum("c").alias("n"), F.count("*").alias("t")).where(F.col("n") > most)
         tested = after.join(F.broadcast(sums), "context")
         if d == 1:
             tested = tested.join(below, "symbol")
@@ -277,11 +283,11 @@ def _hot_levels(rows: DataFrame, words: DataFrame, base: Settings, most: int) ->
         found = tested.groupBy("context").agg(F.first("n").alias("n"), F.first("t").alias("t"), (F.sum("gain") / F.first("n")).alias("bits")).toPandas().sort_values("context")
         state = found["bits"].to_numpy() >= base.divergence
         out.append(Hot(*(found[c].to_numpy(np.int64) for c in ("context", "n", "t")), state))
-        known = known.union(_keyed(after))
+        known = known.union(_keyed(tested.select("context", "symbol", "c")))
         flags = F.broadcast(spark.createDataFrame(pd.DataFrame({"context": found["context"].to_numpy(np.int64), "is_state": state}), "context long, is_state boolean"))
         p = F.when(F.col("is_state"), (F.col("c") + F.col("t") * F.col("p")) / (F.col("n") + F.col("t"))).otherwise(F.col("p"))
         below = tested.join(flags, "context").select(F.col("context").alias("suffix"), "symbol", p.alias("p"))
-        candidates = counts.where("kind = 1").where(F.col("c") > most).select("context", F.col("other").alias("suffix"))
+        candidates = counts.where("kind = 1").where(F.col("c") >= most / 2).select("context", F.col("other").alias("suffix"))
     return tuple(out), known
 
 
@@ -303,14 +309,13 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
 DEALT = "dest long, chunk long, uids binary, ids binary, nulls binary, dictionary binary, codes binary, docs binary"
 
 
-def _deal(rows: DataFrame, parts: int, settings: Settings) -> DataFrame:
+def _deal(rows: DataFrame, parts: int, sent: Broadcast[Settings]) -> DataFrame:
     """All positions, as compressed columns by group and chunk; and one row per chunk that names its documents.
 
     Codes: 0 where a history is not that long, then the commonest words, then the row's own dictionary.
     ``docs`` holds twice the place of the document in its chunk, and one more if it is in training.
     """
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(settings)
     # many small groups even out by themselves
     places = np.array(_spread(spark, parts) if parts <= 2048 else range(parts))
 
@@ -475,7 +480,7 @@ def _documents(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uid": uids, "doc_id": doc_id, "n": total("n").astype(np.int64), "known": total("known").astype(np.int64), "base_score": total("base") * STEP, "score": total("score") * STEP})
 
 
-def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int, common: int) -> tuple[DataFrame, DataFrame, Settings]:
+def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: float, most: int, group: int, common: int) -> tuple[DataFrame, DataFrame, Broadcast[Settings]]:
     """The dealt positions, the counts joined to their groups, and the settings."""
     if depth < 1 or least < 2:
         raise ValueError("contexts have at least one word and occur at least twice")
@@ -489,13 +494,14 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     hot, known = _hot_levels(training, words, s, max(most, s.tokens >> 20))
     top = _commonest(words, common)
     s = replace(s, hot=hot, common=top["word"].to_numpy(np.int64), common_counts=top["c"].to_numpy(np.int64))
+    del top
     size = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+")).cast("long") + 1)).first()[0] or 0
     # at least the session's number of partitions, so that grouping needs no second exchange
     parts = max(1, -(-size // group), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _deal(rows, parts, s)
     sent = spark.sparkContext.broadcast(s)
+    dealt = _deal(rows, parts, sent)
     asked = dealt.mapInArrow(lambda batches: _asks(batches, sent.value), "dest long, key long")
-    return dealt, asked.join(known, "key").select("dest", "key", "c"), s
+    return dealt, asked.join(known, "key").select("dest", "key", "c"), sent
 
 
 def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
@@ -506,18 +512,16 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     none of these changes a result. A null text counts as empty: one symbol, its end. Rows with a null doc_id belong to
     training; rows with equal or null ids are scored apart; other columns are not read; an empty table gives no rows.
     """
-    dealt, answers, s = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group, common)
-    sent = docs.sparkSession.sparkContext.broadcast(s)
+    dealt, answers, sent = _grown(docs, ~folded("doc_id", folds, fold), depth, least, divergence, most, group, common)
     sums = dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, False) if len(a) else pd.DataFrame({x: [] for x in SUMS}), "chunk long, uids binary, ids binary, nulls binary, docs binary, n binary, known binary, base binary, score binary")
     parts = sums.groupBy("chunk").applyInPandas(_documents, "uid long, doc_id long, n long, known long, base_score double, score double")
     # a document cut into pieces may lie in several chunks
     rows = parts.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(s.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(sent.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
     """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
-    dealt, answers, s = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
-    sent = docs.sparkSession.sparkContext.broadcast(s)
+    dealt, answers, sent = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
     columns = "length long, context long, n double, distinct_symbols double, bits double"
     return dealt.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lambda a, b: _sums(a, b, sent.value, True) if len(a) else pd.DataFrame({x.split()[0]: [] for x in columns.split(", ")}), columns)

@@ -16,7 +16,7 @@ Words are 48-bit hashes and contexts 64-bit ones; positions travel as compressed
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -351,7 +351,7 @@ def _deal(rows: DataFrame, parts: int, sent: Broadcast[Settings]) -> DataFrame:
             nulls = np.array([x is None for x in chunk.ids])
             ids = np.array([x or 0 for x in chunk.ids], np.int64)
             name = chunk.uids[:1]
-            docs = (2 * np.arange(len(ids)) + chunk.train)[piece[new]]
+            docs = (2 * np.arange(len(ids)) + chunk.train)[piece[new]].astype(np.int32)
             by_group = np.argsort(dest[new], kind="stable")
             sorted_ = dest[new][by_group]
             bounds = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(new) else [0]
@@ -391,10 +391,11 @@ def _asks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), dest)), pa.array(part)], names=["dest", "key"])
 
 
-def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+def grow(symbol: np.ndarray, past: Callable[[int], np.ndarray], train: np.ndarray, counts: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
     """The subtrees of one group and the probabilities of its positions: (known, base, p, states).
 
-    ``train`` marks positions that count. ``states`` has (length, context, n, distinct, bits) per level of the group's own contexts.
+    ``past(d)`` gives the d-th last words (0 where there is none) and ``train`` marks positions that count.
+    ``states`` has (length, context, n, distinct, bits) per level of the group's own contexts.
     """
     keys, cs = counts
 
@@ -402,13 +403,15 @@ def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[
         some, at = among(which, keys)
         return np.where(some, cs[at], 0) if len(keys) else np.zeros(len(which), np.int64)
 
-    c0 = found(symbol)
-    base = (c0 + 1) / (s.tokens + s.words + 1)
-    p, context, live, states = base.copy(), None, np.arange(len(symbol)), []
-    weight = train.astype(np.float64)
+    known = found(symbol)
+    base = (known + 1) / (s.tokens + s.words + 1)
+    known = known > 0
+    p, context, live, states = base.copy(), None, np.arange(len(symbol), dtype=np.int32), []
     for d in range(s.depth):
-        context = past[0] if d == 0 else longer(context, past[d])
-        live = live[past[d][live] != 0]
+        word = past(d + 1)
+        live = live[word[live] != 0]
+        context = word if d == 0 else longer(context, word)
+        del word
         hot, at = among(context[live], s.hot[d].keys) if d < len(s.hot) else (np.zeros(len(live), bool), None)
         common = live[hot]
         if len(common):
@@ -417,11 +420,11 @@ def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[
             p[common] = np.where(s.hot[d].state[at], (c + t * p[common]) / (n + t), p[common])
         own = live[~hot]
         group, heads = pd.factorize(context[own])
-        n = np.bincount(group, weight[own], len(heads))
+        n = np.bincount(group[train[own]], minlength=len(heads))
         enough = n[group] >= s.least
         own, group = own[enough], group[enough]
-        which, _ = pd.factorize(pair(context[own], symbol[own]))
-        c = np.bincount(which, weight[own])
+        which, kinds = pd.factorize(pair(context[own], symbol[own]))
+        c = np.bincount(which[train[own]], minlength=len(kinds))
         one = np.zeros(len(c), np.int64)
         one[which] = np.arange(len(own))
         of, below = group[one], p[own[one]]
@@ -434,7 +437,7 @@ def grow(symbol: np.ndarray, past: np.ndarray, train: np.ndarray, counts: tuple[
         p[own] = better[which]
         states.append((np.full(int(state.sum()), d + 1), heads[state], n[state], t[state], bits[state]))
         live = np.concatenate([common, own])
-    return c0 > 0, base, p, states
+    return known, base, p, states
 
 
 SUMS = ["chunk", "uids", "ids", "nulls", "docs", "n", "known", "base", "score"]
@@ -447,14 +450,18 @@ def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) ->
     keys = np.concatenate([s.common, counts["key"].to_numpy(np.int64)])
     order = np.argsort(keys)
     answers = keys[order], np.concatenate([s.common_counts, counts["c"].to_numpy(np.int64)])[order]
-    docs = [unpacked(x, np.int64, True) for x in pdf["docs"]]
+    docs = [unpacked(x, np.int32, True) for x in pdf["docs"]]
     stops = np.cumsum(list(map(len, docs)))
-    words = np.empty((s.depth + 1, stops[-1]), np.int64)
-    for dictionary, codes, n, stop in zip(pdf["dictionary"], pdf["codes"], map(len, docs), stops):
-        table = np.concatenate([[0], s.common, unpacked(dictionary, np.int64, True)])
-        words[:, stop - n : stop] = table[unpacked(codes, np.int32).reshape(s.depth + 1, -1)]
+    # rarer words get codes after the common ones, row by row
+    rare = [unpacked(x, np.int64, True) for x in pdf["dictionary"]]
+    words, first = np.concatenate([[0], s.common, *rare]), 1 + len(s.common)
+    codes = np.empty((s.depth + 1, stops[-1]), np.int32)
+    for own, packed_codes, n, stop in zip(rare, pdf["codes"], map(len, docs), stops):
+        part = unpacked(packed_codes, np.int32).reshape(s.depth + 1, -1)
+        codes[:, stop - n : stop] = part + np.where(part > len(s.common), np.int32(first - 1 - len(s.common)), np.int32(0))
+        first += len(own)
     train = np.concatenate(docs) % 2 == 1
-    known, base, p, found = grow(words[0], words[1:], train, answers, s)
+    known, base, p, found = grow(words[codes[0]], lambda d: words[codes[d]], train, answers, s)
     if states:
         return pd.DataFrame({k: np.concatenate([level[i] for level in found]) for i, k in enumerate(("length", "context", "n", "distinct_symbols", "bits"))})
     out = []
@@ -463,7 +470,7 @@ def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) ->
         if len(which):
             first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
             sums = [np.rint(np.add.reduceat(x[stop - len(which) : stop], first)).astype(np.int64) for x in values]
-            out.append((chunk, b"", b"", b"", *map(packed, (which[first] // 2, np.diff(np.append(first, len(which))), *sums))))
+            out.append((chunk, b"", b"", b"", *map(packed, (which[first].astype(np.int64) // 2, np.diff(np.append(first, len(which))), *sums))))
         if len(uids):
             out.append((chunk, uids, ids, nulls, b"", b"", b"", b"", b""))
     return pd.DataFrame(out, columns=SUMS)
@@ -504,7 +511,7 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     return dealt, asked.join(known, "key").select("dest", "key", "c"), sent
 
 
-def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
+def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 1_000_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
     """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); training uses all rows outside the fold.
 
     ``least`` and ``divergence`` decide which contexts of up to ``depth`` words are states. Contexts met more than ``most``
@@ -520,7 +527,7 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(sent.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 400_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
+def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 1_000_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
     """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
     dealt, answers, sent = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
     columns = "length long, context long, n double, distinct_symbols double, bits double"

@@ -221,7 +221,8 @@ def test_suffix_tree_learns_and_sums_to_one():
     # one more position per state and symbol, which does not count
     heads = past[:, 10:200:7]
     asked = np.repeat(heads, len(kinds), axis=1), np.tile(kinds, heads.shape[1])
-    known, base, p, states = suffix_tree.grow(np.append(symbol, asked[1]), np.concatenate([past, asked[0]], axis=1), np.arange(n + len(asked[1])) < n, counts, s)
+    whole = np.concatenate([past, asked[0]], axis=1)
+    known, base, p, states = suffix_tree.grow(np.append(symbol, asked[1]), lambda d: whole[d - 1], np.arange(n + len(asked[1])) < n, counts, s)
     assert p[n:].reshape(-1, len(kinds)).sum(axis=1) == pytest.approx(1) and base[n:].reshape(-1, len(kinds)).sum(axis=1) == pytest.approx(1)
     assert all(len(x[0]) for x in states) and np.log2(p[:n] / base[:n]).mean() > 0.5
 

@@ -96,7 +96,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings")).drop("query_row")
 
 
 ORACLE_OP6 = """

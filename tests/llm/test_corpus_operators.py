@@ -288,26 +288,35 @@ def test_vector_graph_block_path_is_exact(spark):
     assert [got[i] for i in range(120)] == links.tolist()
 
 
-@pytest.mark.parametrize("block, query_block", [(16384, 2048), (90, 5)])
+@pytest.mark.parametrize("block, query_block", [(16384, 16384), (90, 5)])
 def test_top_k_is_exact(spark, block, query_block):
+    """All lists, scores and ties, id 50 with its two rows included."""
     rows = vectors(spark).collect()
     fine = [r for r in rows if r.vec_id is not None and r.embedding and all(x is not None and math.isfinite(x) for x in r.embedding)]
     ints = [[math.floor(256 * x) for x in r.embedding] for r in fine]
     want = Counter()
     for i, q in enumerate(fine):
         if q.vec_id % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), c.vec_id) for j, c in enumerate(fine) if c.vec_id != q.vec_id and len(ints[j]) == len(ints[i]))
-            want.update((q.vec_id, v, -s) for s, v in scores[:5])
-    got = topk.top_inner_products(vectors(spark).where("vec_id <> 50"), block=block, query_block=query_block).collect()
-    want = Counter({k: 1 for k in want if k[0] != 50})
-    again = Counter((r.query_id, r.vec_id, r.score) for r in got)
-    for query in {k[0] for k in again}:
-        ours = sorted(s for q, _, s in again if q == query)
-        assert len([1 for r in got if r.query_id == query]) == 5 and [r["rank"] for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
-        assert ours[-1] == max(s for q, _, s in want if q == query)
+            scores = sorted((-sum(a * b for a, b in zip(ints[i], ints[j])), c.vec_id) for j, c in enumerate(fine) if j != i and len(ints[j]) == len(ints[i]))
+            want[(q.vec_id, tuple((v, -s) for s, v in scores[:5]))] += 1
+    lists = defaultdict(list)
+    for r in topk.top_inner_products(vectors(spark), block=block, query_block=query_block).collect():
+        lists[(r.query_row, r.query_id)].append((r["rank"], r.vec_id, r.score))
+    assert all([x[0] for x in sorted(v)] == [1, 2, 3, 4, 5] for v in lists.values())
+    assert Counter((q, tuple(x[1:] for x in sorted(v))) for (_, q), v in lists.items()) == want
     assert topk.top_inner_products(vectors(spark).limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [0.5, 3.0]), (100, [4.0])]
+    lists = defaultdict(list)
+    for r in topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect():
+        lists[r.query_row].append((r.query_id, r["rank"], r.vec_id, r.score))
+    assert sorted(sorted(v) for v in lists.values()) == [[(50, 1, 2, 2 << 16), (50, 2, 1, 1 << 16)], [(50, 1, 3, 3 << 16), (50, 2, 1, 1 << 16)]]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_inner_products(spark.createDataFrame([(50, [1e17, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_impact_index_against_products():
     pick = np.random.default_rng(2)
     v = pick.integers(-140, 120, (3000, 24))

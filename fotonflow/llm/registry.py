@@ -57,8 +57,7 @@ FROM laid WHERE page_id % 211 = 5 OR replica <> sha256
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), forest)
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.default_forest(spark))
     return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "chance", "is_secret")
 
 

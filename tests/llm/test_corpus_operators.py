@@ -354,7 +354,7 @@ def test_pipeline_against_brute_force(spark):
     prints = {r.doc_id: brute_fingerprint(r.text) for r in rows}
     root = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
     stay = {i for i, r in root.items() if i == r}
-    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    forest = secret_scan.default_forest(spark)
     secrets = {(r.doc_id, r.candidate) for r in secret_scan.scan(docs, forest).where("is_secret").collect()}
     expect = {}
     for r in rows:

@@ -306,7 +306,7 @@ def _spread(spark: SparkSession, n: int) -> list[int]:
     return [r[0] for r in spark.range(40 * n + 400).groupBy(place.alias("place")).agg(F.min("id").alias("id")).select("id").collect()]
 
 
-DEALT = "dest long, chunk long, uids binary, ids binary, nulls binary, dictionary binary, codes binary, docs binary"
+DEALT = "dest long, chunk long, uids binary, ids binary, nulls binary, dictionary binary, docs binary, codes array<binary>"
 
 
 def _deal(rows: DataFrame, parts: int, sent: Broadcast[Settings]) -> DataFrame:
@@ -355,15 +355,15 @@ def _deal(rows: DataFrame, parts: int, sent: Broadcast[Settings]) -> DataFrame:
             by_group = np.argsort(dest[new], kind="stable")
             sorted_ = dest[new][by_group]
             bounds = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(new) else [0]
-            out = [(places[int(mix(name, name, 31).view(np.uint64)[0] % np.uint64(parts))], name[0], packed(chunk.uids, True), packed(ids), packed(nulls), b"", b"", b"")]
+            out = [(places[int(mix(name, name, 31).view(np.uint64)[0] % np.uint64(parts))], name[0], packed(chunk.uids, True), packed(ids), packed(nulls), b"", b"", [])]
             for i, j in zip(bounds[:-1], bounds[1:]):
                 codes = table[:, by_group[i:j]]
                 used, rare = np.zeros(len(own), bool), codes > len(common)
                 used[codes[rare] - 1 - len(common)] = True
                 codes[rare] = len(common) + np.cumsum(used)[codes[rare] - 1 - len(common)]
-                out.append((places[sorted_[i]], name[0], b"", b"", b"", packed(own[used], True), packed(codes.ravel()), packed(docs[by_group[i:j]], True)))
+                out.append((places[sorted_[i]], name[0], b"", b"", b"", packed(own[used], True), packed(docs[by_group[i:j]], True), [packed(c) for c in codes]))
             columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:])], names=[x.split()[0] for x in DEALT.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:2]), *(pa.array(c, pa.binary()) for c in columns[2:7]), pa.array(columns[7], pa.list_(pa.binary()))], names=[x.split()[0] for x in DEALT.split(", ")])
 
     return rows.mapInArrow(run, DEALT).repartition(parts, "dest")
 
@@ -374,16 +374,17 @@ def _asks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
     first = 1 + len(s.common)
     for batch in batches:
         for dest, dictionary, codes in zip(*(batch.column(n).to_pylist() for n in ("dest", "dictionary", "codes"))):
-            rare, codes = unpacked(dictionary, np.int64, True), unpacked(codes, np.int32).reshape(s.depth + 1, -1)
-            keys = [rare[pd.unique(codes[0][codes[0] >= first]) - first]]
-            words = np.concatenate([[0], s.common, rare])
-            symbol, context = codes[0], None
-            for d, hot in enumerate(s.hot):
-                past = words[codes[d + 1]]
-                context = past if d == 0 else longer(context, past)
-                live = np.flatnonzero((past != 0) & among(context, hot.keys)[0])
-                codes, symbol, context = codes[:, live], symbol[live], context[live]
-                keys.append(pd.unique(pair(context, words[symbol])))
+            if not codes:
+                continue
+            rare, symbol = unpacked(dictionary, np.int64, True), unpacked(codes[0], np.int32)
+            keys = [rare[pd.unique(symbol[symbol >= first]) - first]]
+            words, live, context = np.concatenate([[0], s.common, rare]), np.arange(len(symbol)), None
+            for hot, packed_codes in zip(s.hot, codes[1:]):
+                past = words[unpacked(packed_codes, np.int32)[live]]
+                context = past if context is None else longer(context, past)
+                some = (past != 0) & among(context, hot.keys)[0]
+                live, context = live[some], context[some]
+                keys.append(pd.unique(pair(context, words[symbol[live]])))
             known[dest] = [pd.unique(np.concatenate([*known.get(dest, []), *keys]))]
     for dest, (keys,) in known.items():
         for at in range(0, len(keys), 1 << 16):
@@ -456,9 +457,10 @@ def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) ->
     rare = [unpacked(x, np.int64, True) for x in pdf["dictionary"]]
     words, first = np.concatenate([[0], s.common, *rare]), 1 + len(s.common)
     codes = np.empty((s.depth + 1, stops[-1]), np.int32)
-    for own, packed_codes, n, stop in zip(rare, pdf["codes"], map(len, docs), stops):
-        part = unpacked(packed_codes, np.int32).reshape(s.depth + 1, -1)
-        codes[:, stop - n : stop] = part + np.where(part > len(s.common), np.int32(first - 1 - len(s.common)), np.int32(0))
+    for own, columns, n, stop in zip(rare, pdf["codes"], map(len, docs), stops):
+        for d, column in enumerate(columns):
+            part = unpacked(column, np.int32)
+            codes[d, stop - n : stop] = part + np.where(part > len(s.common), np.int32(first - 1 - len(s.common)), np.int32(0))
         first += len(own)
     train = np.concatenate(docs) % 2 == 1
     known, base, p, found = grow(words[codes[0]], lambda d: words[codes[d]], train, answers, s)
@@ -502,7 +504,9 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     top = _commonest(words, common)
     s = replace(s, hot=hot, common=top["word"].to_numpy(np.int64), common_counts=top["c"].to_numpy(np.int64))
     del top
-    size = rows.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+")).cast("long") + 1)).first()[0] or 0
+    # as many symbols to a document outside training as within
+    all_rows, training_rows = rows.agg(F.count("*"), F.count_if("train")).first()
+    size = s.tokens * all_rows // max(1, training_rows)
     # at least the session's number of partitions, so that grouping needs no second exchange
     parts = max(1, -(-size // group), int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = spark.sparkContext.broadcast(s)
@@ -511,7 +515,7 @@ def _grown(docs: DataFrame, train: Column, depth: int, least: int, divergence: f
     return dealt, asked.join(known, "key").select("dest", "key", "c"), sent
 
 
-def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 1_000_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
+def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 700_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
     """One row per document row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); training uses all rows outside the fold.
 
     ``least`` and ``divergence`` decide which contexts of up to ``depth`` words are states. Contexts met more than ``most``
@@ -527,7 +531,7 @@ def train_and_score(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     return rows.select("doc_id", folded("doc_id", folds, fold).alias("held_out"), "n_tokens", "n_known", F.lit(sent.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 1_000_000, group: int = 1_000_000, common: int = COMMON) -> DataFrame:
+def states(docs: DataFrame, train: Column | None = None, depth: int = 4, least: int = 2, divergence: float = 0.01, most: int = 700_000, group: int = 1_500_000, common: int = COMMON) -> DataFrame:
     """The tree as a table (length, context, n, distinct_symbols, bits), one row per state that one group holds; hot contexts are not among them."""
     dealt, answers, sent = _grown(docs, F.lit(True) if train is None else train, depth, least, divergence, most, group, common)
     columns = "length long, context long, n double, distinct_symbols double, bits double"

@@ -22,20 +22,6 @@ def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.least(F.greatest(x, lit(low)), lit(high))
 
 
-def ema(raw: Column, previous: Column, alpha: Column | float) -> Column:
-    """Exponential moving average: alpha * raw + (1 - alpha) * previous."""
-    return lit(alpha) * raw + (1 - lit(alpha)) * previous
-
-
-def rate_limit(raw: Column, previous: Column, step: Column | float) -> Column:
-    """previous moved towards raw by at most ``step``."""
-    return previous + clip(raw - previous, -lit(step), lit(step))
-
-
-def adaptive_alpha(alpha: float, fast: float, scene_change: Column) -> Column:
-    return F.when(scene_change, F.greatest(lit(alpha), lit(fast))).otherwise(lit(alpha))
-
-
 def quantise(x: Column) -> Column:
     """[0, 1] to 0..255, rounding half to even and saturating."""
     return F.least(F.greatest(F.bround(x * 255), F.lit(0)), F.lit(255)).cast("int")

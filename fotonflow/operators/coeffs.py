@@ -74,16 +74,17 @@ def static_outputs(frames: DataFrame) -> DataFrame:
 
 
 def measurements(pixels: DataFrame) -> DataFrame:
-    """(stream_id, frame_id, mean_y, r, g, b): channel means by phase of a red-green / green-blue mosaic."""
+    """(stream_id, frame_id, mean_y, r, g, b, af_score): channel means by phase of a red-green / green-blue mosaic, and the range of values as focus score."""
     red, blue = (F.col("y") % 2 == 0) & (F.col("x") % 2 == 0), (F.col("y") % 2 == 1) & (F.col("x") % 2 == 1)
-    means = [F.avg("v").alias("mean_y"), F.avg(F.when(red, F.col("v"))).alias("r"), F.avg(F.when(~red & ~blue, F.col("v"))).alias("g"), F.avg(F.when(blue, F.col("v"))).alias("b")]
+    means = [F.avg("v").alias("mean_y"), F.avg(F.when(red, F.col("v"))).alias("r"), F.avg(F.when(~red & ~blue, F.col("v"))).alias("g"), F.avg(F.when(blue, F.col("v"))).alias("b"), (F.max("v") - F.min("v")).alias("af_score")]
     return pixels.groupBy("stream_id", "frame_id").agg(*means)
 
 
 def controller_step(measured: DataFrame, gain: float = 1.0, k: float = 0.5, target: float = 0.5) -> DataFrame:
-    """One step of the measurement controller from a fixed gain; other coefficients pass through unchanged."""
+    """One step of the measurement controller from a fixed gain; all other columns (coefficients, the focus score) pass through unchanged."""
     mean = (F.col("r") + F.col("g") + F.col("b")) / 3
-    return measured.select("frame_id", (gain + k * (target - F.col("mean_y"))).alias("ae_gain"), *[safe_div(mean, F.col(c)).alias(f"awb_{c}") for c in "rgb"])
+    carried = [c for c in measured.columns if c not in ("stream_id", "frame_id", "mean_y", "r", "g", "b")]
+    return measured.select("frame_id", (gain + k * (target - F.col("mean_y"))).alias("ae_gain"), *[safe_div(mean, F.col(c)).alias(f"awb_{c}") for c in "rgb"], *carried)
 
 
 def controller_feedback(measured: DataFrame, gain: float = 1.0, k: float = 0.5, target: float = 0.5) -> DataFrame:
@@ -95,3 +96,10 @@ def controller_feedback(measured: DataFrame, gain: float = 1.0, k: float = 0.5,
 def routed(coefficients: DataFrame, declared: list[str]) -> DataFrame:
     """The coefficients that a consumer declares, in its order."""
     return coefficients.select(*[c for c in declared if c in coefficients.columns])
+
+
+def output_index(names: Column, wanted: Column, strict: bool = False) -> Column:
+    """Place of an output's name, from 0. A miss answers with the first output, or raises if ``strict``; nulls stay null."""
+    place = F.array_position(names, wanted)
+    miss = F.raise_error(F.concat(F.lit("no output is named "), wanted)).cast("long") if strict else F.lit(0).cast("long")
+    return F.when(place == 0, miss).otherwise(place - 1)

@@ -24,6 +24,7 @@ def monitored(items: DataFrame) -> DataFrame:
 
     In order: unpublished packets are dropped; a token that is owned, or that an earlier published item of the batch has
     claimed, fails; items without a token return their slot; frames that hardware uses are kept; the rest become control items.
+    ``owner_after`` is the token's owner when the batch is done: 2 after a fast forward, 1 once the monitor has claimed it.
     """
     earlier = Window.partitionBy("worker", "batch", "token").orderBy("packet_id").rowsBetween(Window.unboundedPreceding, 0)
     published = F.sum("publish").over(earlier)
@@ -35,14 +36,20 @@ def monitored(items: DataFrame) -> DataFrame:
         .when(F.col("hw") == 1, "RECLAIM")
         .otherwise("CTRL")
     )
-    after = F.when(F.col("token").isNull(), None).when(F.col("outcome") == "FF", 2).when(F.col("outcome").isin("RECLAIM", "CTRL"), 1).otherwise(F.col("owner"))
+    claims = F.sum("publish").over(Window.partitionBy("worker", "batch", "token"))
+    after = F.when(F.col("token").isNull(), None).when(F.col("ff"), 2).when((F.col("owner") == 0) & (claims > 0), 1).otherwise(F.col("owner"))
     return items.withColumn("outcome", outcome).withColumn("owner_after", after)
 
 
+#: The envelope of an item and its names in a control item.
+ENVELOPE = {"cmd_type": "control_type", "worker": "origin_worker_id", "packet_id": "packet_id", "epoch": "packet_epoch", "diagnostics_idx": "diagnostics_idx", "frame_id": "frame_id", "alloc_ticket": "alloc_ticket", "idempotency_key": "idempotency_key"}
+
+
 def control_items(routed: DataFrame) -> DataFrame:
-    """(packet_id, worker, batch, reason) of the items that become control items."""
+    """The eight envelope fields and the reason of the items that become control items, with their batch."""
     reason = F.when(F.col("outcome") == "FF", FAST_FORWARD).otherwise(FALLBACK)
-    return routed.where(F.col("outcome").isin("FF", "CTRL")).select("packet_id", "worker", "batch", reason.alias("reason"))
+    fields = [F.col(ours).alias(theirs) for ours, theirs in ENVELOPE.items()]
+    return routed.where(F.col("outcome").isin("FF", "CTRL")).select(*fields, "batch", reason.alias("reason"))
 
 
 def event_counts(routed: DataFrame) -> DataFrame:

@@ -11,12 +11,12 @@ from fotonflow.functions.scalar import byte_length
 from fotonflow.operators import coeffs, pixels, routing, rules, slots
 from fotonflow.plans.oracles import ORACLES as ORACLES
 from fotonflow.sources import views
-from fotonflow.sources.tables import table
+from fotonflow.sources.tables import preloaded_fifo, synthetic_frames, synthetic_items, table
 from fotonflow.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 MOSAICS = {0: "RGGB", 1: "BGGR", 2: "GRBG", 3: "GBRG", 4: "none"}
-GAMMA_ENTRIES = 16
+GAMMA_ENTRIES = 256
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -63,7 +63,19 @@ def coeff_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def controller_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(coeffs.controller_step(coeffs.measurements(views.pixels(spark, sf_dir))), "ae_gain", "awb_r", "awb_g", "awb_b")
+    """Every coefficient that the step does not update is one frame's own, to show that it passes through."""
+    measured = coeffs.measurements(views.pixels(spark, sf_dir))
+    names = ["gamma", "noise", "sharp", *[f"ccm_{i}" for i in range(9)], *[f"lens_{i}" for i in range(4)], *[f"color_{i}" for i in range(3)]]
+    current = measured.withColumns({n: (F.col("frame_id") * 31 + i).cast("double") for i, n in enumerate(names)})
+    return rounded(coeffs.controller_step(current), "ae_gain", "awb_r", "awb_g", "awb_b", "af_score")
+
+
+@query
+def output_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of the output that each consumer asks for; an unknown name answers with the first."""
+    names, asked = F.array(*map(F.lit, ("ccm", "lens", "color", "gamma"))), F.array(*map(F.lit, ("gamma", "wb_gains", "ccm", "color", "lens")))
+    wanted = F.element_at(asked, (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", wanted.alias("wanted"), coeffs.output_index(names, wanted).alias("place"))
 
 
 @query
@@ -71,6 +83,11 @@ def controller_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(coeffs.controller_feedback(coeffs.measurements(views.pixels(spark, sf_dir))), "ae_gain")
 
 
+def micro(x: Column) -> Column:
+    """Rounded to millionths by the same steps as in the SQL."""
+    return F.floor(x * 1e6 + 0.5) / F.lit(1e6)
+
+
 def _raw_wb(value: Column) -> list[Column]:
     return [1 + value / 1000, F.lit(1.0), 1 + value / 2000]
 
@@ -83,17 +100,13 @@ def rule_wb_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scalar_fold(spark: SparkSession, sf_dir: str, raw: Column, channel: rules.Channel) -> DataFrame:
     found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(raw)), channel)
-    return found.select("stream_id", "event_id", F.round(F.col("values")[0], 6).alias("value"))
+    return found.select("stream_id", "event_id", micro(F.col("values")[0]).alias("value"))
 
 
 def _array_fold(spark: SparkSession, sf_dir: str, raw: list[Column], channel: rules.Channel) -> DataFrame:
     found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(*raw)), channel)
     cells = found.select("stream_id", "event_id", F.posexplode("values").alias("pos", "value"))
-    return rounded(cells, "value")
-
-
-
-
+    return cells.withColumn("value", micro(F.col("value")))
 
 
 @query
@@ -119,8 +132,10 @@ def rule_ccm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_gamma_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 256 entries of each table, in millionths, as one text."""
     raw = [F.lit(i / (GAMMA_ENTRIES - 1)) * F.col("value") / 100 for i in range(GAMMA_ENTRIES)]
-    return _array_fold(spark, sf_dir, raw, rules.PARAMS.gamma(GAMMA_ENTRIES))
+    found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(*raw)), rules.PARAMS.gamma(GAMMA_ENTRIES))
+    return found.select("stream_id", "event_id", F.array_join(F.transform("values", lambda x: F.floor(x * 1e6 + 0.5)), ",").alias("entries"))
 
 
 @query
@@ -201,6 +216,37 @@ def slot_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.allocated(requests, _queue(spark, sf_dir)).select("request_id", "nth", "slot_index")
 
 
+@query
+def slot_last_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.last_sequence(_queue(spark, sf_dir))
+
+
+@query
+def slot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control items, completions and an allocator's releases (views of a slot) in one queue."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    releases = events.select(F.col("event_id").alias("id"), "ts", F.col("event_id").alias("slot_index"), F.lit(1).cast("long").alias("epoch"))
+    return slots.ledger(views.control_items(spark, sf_dir), views.hw_done(spark, sf_dir), releases)
+
+
+@query
+def fifo_preload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preloaded_fifo(spark)
+
+
+@query
+def demo_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-off demo: its control items."""
+    return routing.control_items(routing.monitored(routing.fast_forward(synthetic_items(spark))))
+
+
+@query
+def synthetic_frame_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per made-up frame: its size, and whether all values lie in [0, 1)."""
+    frames = synthetic_frames(spark, 5, 108, 192)
+    return frames.groupBy("frame_id").agg(F.count("*").alias("n"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"), F.min((F.col("v") >= 0) & (F.col("v") < 1)).alias("in_range"))
+
+
 @query
 def frame_table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.frame_table(views.control_items(spark, sf_dir))
@@ -208,7 +254,7 @@ def frame_table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hw_done_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots.completed(views.hw_done(spark, sf_dir), views.control_items(spark, sf_dir))
+    return slots.completed(views.hw_done(spark, sf_dir), views.control_items(spark, sf_dir)).drop("ts")
 
 
 @query
@@ -247,7 +293,7 @@ def stream_rule_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = rules.sharpness_target(F.col("value") / 100, (1 + k % 16).cast("double"))
     targets = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("stream_id"), "ts", "event_id", (F.col("event_type") == "error").alias("scene_change"), F.array(target).alias("raw"))
     found = streams.drained(streams.stabilise_stream(targets, rules.PARAMS.sharpness))
-    return found.select("stream_id", "event_id", F.round(F.col("values")[0], 6).alias("value"))
+    return found.select("stream_id", "event_id", micro(F.col("values")[0]).alias("value"))
 
 
 @query

@@ -21,6 +21,9 @@ def bayer_files(spark: SparkSession, path: str, width: int, height: int, stride:
     decoded by one task, in runs of rows.
     """
 
+    if stride % 2 or not 0 < width <= stride // 2:
+        raise ValueError("a row has an even number of bytes, two for each column at least")
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -43,10 +46,10 @@ def synthetic_frames(spark: SparkSession, frames: int, height: int, width: int,
 
 
 def synthetic_items(spark: SparkSession, n: int = 5) -> DataFrame:
-    """Hand-off items of the demo: every even one holds a token."""
+    """Hand-off items of the demo: every even one holds a token and a frame."""
     even = F.col("id") % 2 == 0
     token = F.when(even, F.col("id") + 500)
-    return spark.range(n).select((F.col("id") + 1000).alias("packet_id"), F.lit(1).alias("worker"), F.lit(1).alias("batch"), F.lit(1).alias("publish"), token.alias("token"), F.when(even, 0).alias("owner"), F.when(even, 0).alias("hw"), F.col("id").alias("slot_index"))
+    return spark.range(n).select((F.col("id") + 1000).alias("packet_id"), F.lit(1).alias("worker"), F.lit(1).alias("batch"), F.lit(1).alias("publish"), token.alias("token"), F.when(even, 0).alias("owner"), F.when(even, 0).alias("hw"), F.col("id").alias("slot_index"), F.lit(1).alias("cmd_type"), F.lit(1).alias("epoch"), F.lit(0).alias("diagnostics_idx"), F.when(even, F.col("id") + 200).alias("frame_id"), F.col("id").alias("alloc_ticket"), F.col("id").alias("idempotency_key"))
 
 
 def preloaded_fifo(spark: SparkSession, slots: int = 64, epoch: int = 1) -> DataFrame:

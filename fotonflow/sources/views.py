@@ -24,13 +24,13 @@ def raw_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand-off items (packet_id, worker, batch, publish, token, owner, hw, slot_index); tokens are local to a batch."""
+    """Hand-off items (packet_id, worker, batch, publish, token, owner, hw, slot_index, k and the rest of the envelope); tokens are local to a batch."""
     k = F.get_json_object("props", "$.k").cast("int")
     day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", k.alias("k"), F.floor(day / 7).cast("long").alias("batch"))
     token = F.when(F.col("event_type") != "error", F.col("user_id") * 1000 + F.col("batch") * 20 + F.col("k") % 16)
     rows = rows.withColumn("token", token)
-    return rows.select(F.col("event_id").alias("packet_id"), F.col("user_id").alias("worker"), "batch", F.when(F.col("k") % 5 == 0, 0).otherwise(1).alias("publish"), "token", F.when(F.col("token") % 23 == 0, 1).when(F.col("token").isNotNull(), 0).alias("owner"), F.when(F.col("token") % 7 == 0, 1).when(F.col("token").isNotNull(), 0).alias("hw"), F.col("event_id").alias("slot_index"), "k")
+    return rows.select(F.col("event_id").alias("packet_id"), F.col("user_id").alias("worker"), "batch", F.when(F.col("k") % 5 == 0, 0).otherwise(1).alias("publish"), "token", F.when(F.col("token") % 23 == 0, 1).when(F.col("token").isNotNull(), 0).alias("owner"), F.when(F.col("token") % 7 == 0, 1).when(F.col("token").isNotNull(), 0).alias("hw"), F.col("event_id").alias("slot_index"), "k", (1 + F.col("k") % 3).alias("cmd_type"), (1 + F.col("k") % 4).alias("epoch"), F.col("k").alias("diagnostics_idx"), F.col("user_id").alias("frame_id"), F.col("event_id").alias("alloc_ticket"), (F.col("user_id") * 100 + F.col("k")).alias("idempotency_key"))
 
 
 def control_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,20 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from fotonflow.operators.rules import Channel, Stepper
+from fotonflow.operators.rules import Channel, Stepper, fold, matrix
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share, for sinks and stream checkpoints; on one machine a temporary one."""
+    """A folder that all executors share, for sinks and stream checkpoints; on one machine (local masters only) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -43,7 +46,11 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -
 
 
 class FoldProcessor(StatefulProcessor):
-    """Keeps each stream's last values; rows of a micro-batch are folded in order of (ts, event_id)."""
+    """Keeps each stream's last values; rows of a micro-batch are folded in order of (ts, event_id).
+
+    A stream's rows of one micro-batch are held together to be sorted: bound micro-batches by files per trigger.
+    Nulls and NaN keep the state, as in ``rules.stabilise``.
+    """
 
     def __init__(self, channel: Channel):
         self.channel = channel
@@ -54,14 +61,13 @@ class FoldProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
         state = np.array(self.values.get()[0] if self.values.exists() else self.channel.initial, float)
-        ids, out = [], []
         whole = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for event, change, raw in zip(whole["event_id"], whole["scene_change"], whole["raw"]):
-            state = self.step(np.array(raw, float), state, bool(change))
-            ids.append(event)
-            out.append(state.tolist())
-        self.values.update((state.tolist(),))
-        yield pd.DataFrame({"stream_id": key[0], "event_id": ids, "values": out})
+        raw = matrix(pa.array(whole["raw"], pa.list_(pa.float64())), len(state))
+        change = whole["scene_change"].fillna(False).to_numpy(bool)
+        states = state[None].copy()
+        out = fold(raw, change, np.zeros(1, np.int64), states, self.step)
+        self.values.update((states[0].tolist(),))
+        yield pd.DataFrame({"stream_id": key[0], "event_id": whole["event_id"].to_numpy(), "values": out.tolist()})
 
     def close(self) -> None:
         pass
@@ -74,6 +80,9 @@ def stabilise_stream(targets: DataFrame, channel: Channel) -> DataFrame:
     return targets.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=FoldProcessor(channel), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
-def dedupe_stream(events: DataFrame, key: list[str], within: str = "40 days") -> DataFrame:
-    """The first event of each key within the watermark."""
+def dedupe_stream(events: DataFrame, key: list[str], within: str | None = None) -> DataFrame:
+    """The first event of each key that arrives. All keys stay in the state store, unless ``within`` bounds it: then a key comes again after that time, and rows later than it are dropped."""
+    if within is None:
+        events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        return events.dropDuplicates(key)
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(key)

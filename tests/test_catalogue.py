@@ -14,6 +14,11 @@ def test_query_equals_oracle(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == oracle_rows(ORACLES[name], SF)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if "fold" in n))
+def test_fold_equals_oracle_on_more_rows(spark, name):
+    assert rows_of(QUERIES[name](spark, SF.replace("0.001", "0.01"))) == oracle_rows(ORACLES[name], SF.replace("0.001", "0.01"))
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 

@@ -27,7 +27,8 @@ def test_clip_and_quantise(spark):
 
 @pytest.mark.parametrize("change, wb, sharpness, nr", [(False, [1.0375, 0.959375, 1.01875], 0.925, 0.6), (True, [1.05625, 0.9359375, 1.0234375], 0.85, 0.75)])
 def test_rule_engine_step(change, wb, sharpness, nr):
-    step = lambda c, raw, prev: rules.Stepper(c)(np.array(raw), np.array(prev), change).tolist()
+    # fixed values: inputs of the goldens
+    step = lambda c, raw, prev: rules.Stepper(c)(np.array(raw), np.array(prev), np.array(change)).tolist()
     p, raw = rules.PARAMS, np.array([1.2, 0.9, 1.1])
     assert step(p.wb, raw / raw.mean(), [1.0] * 3) == pytest.approx(wb)
     assert step(p.sharpness, [1.0 / 2], [1.0]) == pytest.approx([sharpness])
@@ -42,6 +43,52 @@ def test_fold_keeps_state_over_nulls_and_stays_in_limits(spark):
     assert len(got) == 9 and got[3] == got[2] and all(0 <= v <= 5 for v in got.values())
 
 
+def test_fold_equals_a_row_by_row_one(spark):
+    """Several batches per stream, nulls and NaN among the rows; the stateful form's steps are the same."""
+    pick = np.random.default_rng(5)
+    values = [None if x < 0.1 else [math.nan if x < 0.2 else x * 5, x] for x in pick.random(600).tolist()]
+    rows = [(int(s), i, i, bool(i % 7 == 0), v) for i, (s, v) in enumerate(zip(pick.integers(0, 3, 600), values))]
+    channel = rules.Channel("x", (1.0, 0.5), 0.0, 2.0, step=0.05)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    df = spark.createDataFrame(rows, "stream_id long, ts long, event_id long, scene_change boolean, raw array<double>")
+    got = {r.event_id: r["values"] for r in rules.stabilise(df, channel).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    states = {}
+    for s, _, i, change, raw in rows:
+        state = states.setdefault(s, [1.0, 0.5])
+        for k in range(2):
+            if raw is not None and not math.isnan(raw[k]):
+                a = 0.5 if change else 0.2
+                out = (a * raw[k] + (1 - a) * state[k] + state[k] + min(max(raw[k] - state[k], -0.05), 0.05)) / 2
+                state[k] = min(max(out, 0.0), 2.0)
+        assert got[i] == pytest.approx(state)
+
+
+def test_a_zero_mean_does_not_stop_the_job(spark):
+    got = one(spark, **{f"c{i}": c for i, c in enumerate(rules.normalised([F.lit(1.0), F.lit(-1.0), F.lit(0.0)]))})
+    assert got.c0 == math.inf and got.c1 == -math.inf and math.isnan(got.c2)
+
+
+def test_output_lookup(spark):
+    names = F.array(F.lit("a"), F.lit("b"))
+    assert one(spark, hit=coeffs.output_index(names, F.lit("b")), miss=coeffs.output_index(names, F.lit("z"))) == (1, 0)
+    with pytest.raises(Exception, match="no output is named z"):
+        one(spark, x=coeffs.output_index(names, F.lit("z"), strict=True))
+
+
+def test_release_follows_allocation(spark):
+    """64 slots are given out in order; given back, they stand in the queue with numbers 65 to 128."""
+    queue = tables.preloaded_fifo(spark)
+    got = slots.allocated(spark.range(64).select((F.col("id") + 1).alias("nth")), queue)
+    assert [r.slot_index for r in got.orderBy("nth").collect()] == list(range(64))
+    back = got.select(F.col("nth").alias("id"), F.timestamp_seconds("nth").alias("ts"), "slot_index", F.lit(1).cast("long").alias("epoch"))
+    none = spark.createDataFrame([], "event_id long, ts timestamp, control_type string, frame_id long, alloc_ticket long, epoch long")
+    notices = spark.createDataFrame([], "order_id long, frame_id long, ts timestamp")
+    rows = slots.ledger(none, notices, back).withColumn("free_seq", F.col("free_seq") + slots.last_sequence(queue).first()[0]).orderBy("free_seq").collect()
+    assert [r.free_seq for r in rows] == list(range(65, 129)) and [r.slot_index for r in rows] == list(range(64))
+    first = slots.allocated(spark.range(3).select((F.col("id") + 1).alias("nth")), queue, spark.createDataFrame([(1, 900), (2, 901)], "nth long, slot_index long"))
+    assert [r.slot_index for r in first.orderBy("nth").collect()] == [900, 901, 0]
+
 def test_controller_golden(spark):
     one_frame = spark.createDataFrame([(0, 0, 0.35, 0.4, 0.6, 0.5)], "stream_id int, frame_id int, mean_y double, r double, g double, b double")
     got = coeffs.controller_step(one_frame).first()
@@ -81,7 +128,7 @@ def test_handoff_demo(spark):
 
 def simulate(items):
     """The hand-off rules, item by item."""
-    owners, out = {}, {}
+    out, after = {}, {}
     for batch in sorted({(i["worker"], i["batch"]) for i in items}):
         rows = sorted((i for i in items if (i["worker"], i["batch"]) == batch), key=lambda i: i["packet_id"])
         first = {}
@@ -107,7 +154,8 @@ def simulate(items):
             else:
                 owners[t] = 1
                 out[i["packet_id"]] = "RECLAIM" if i["hw"] else "CTRL"
-    return out
+        after |= {i["packet_id"]: None if i["token"] is None else 2 if fine else owners[i["token"]] for i in rows}
+    return {p: (out[p], after[p]) for p in out}
 
 
 def test_routing_against_simulation(spark):
@@ -116,7 +164,7 @@ def test_routing_against_simulation(spark):
     from fotonflow.sources import views
 
     items = views.items(spark, SF).cache()
-    got = {r.packet_id: r.outcome for r in routing.monitored(routing.fast_forward(items)).collect()}
+    got = {r.packet_id: (r.outcome, r.owner_after) for r in routing.monitored(routing.fast_forward(items)).collect()}
     assert got == simulate([r.asDict() for r in items.collect()])
 
 

@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from fotonflow.llm.bpe import small_batches
 from fotonflow.llm.common import materialize
 
-#: Words kept with their hashes, and the bytes up to which a word is kept.
-WORD_CACHE, KEPT_BYTES = 250_000, 48
 #: Bytes of text whose words are held at a time, and symbols that a task deals out at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 20
 #: Commonest words, whose hashes and counts every task holds (12 bytes each).
@@ -39,17 +37,38 @@ COMMON = 1 << 19
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word) >> 16
-        if len(self) < WORD_CACHE and len(word) <= KEPT_BYTES:
-            self[word] = h
-        return h
-
-
-_hashes = WordHashes()
-#: The symbol after the last word, and the mark before the first one; no word holds a space.
+#: The symbol after the last word, and the mark before the first one.
 END = xxhash.xxh64_intdigest(b" end") >> 16
+#: An odd number and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+WHITE = np.zeros(256, bool)
+WHITE[[*range(9, 14), 32]] = True
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first powers of ``base`` modulo 2**64, n at least."""
+    if base not in _powers or len(_powers[base]) < n:
+        steps = np.full(1 << max(12, n.bit_length()), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """48-bit hashes of the words of lower-cased (A-Z) bytes: polynomials of their bytes, taken from running sums of the whole, then mixed."""
+    x = np.frombuffer(data.lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(~WHITE[x], prepend=False, append=False))
+    starts, stops = edges[::2], edges[1::2]
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(x))[: len(x)], out=sums[1:])
+    h = (sums[stops] - sums[starts]) * powers(INVERSE, len(x))[starts]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(16)).astype(np.int64)
 
 
 def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -81,9 +100,7 @@ def symbols(text: str | None, depth: int) -> Iterator[tuple[int, np.ndarray]]:
     while True:
         cut = SPACES.search(data, at + BLOCK) if at + BLOCK < len(data) else None
         stop = cut.start() if cut else len(data)
-        words = data[at:stop].lower().split()
-        now = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
-        now = np.concatenate([held, now, np.full(0 if cut else 1, END, np.int64)])
+        now = np.concatenate([held, word_hashes(data[at:stop]), np.full(0 if cut else 1, END, np.int64)])
         yield len(held), now
         if not cut:
             return

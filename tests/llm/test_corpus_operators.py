@@ -198,6 +198,16 @@ def test_suffix_tree_against_a_plain_one(spark, least, most, group, common):
     assert suffix_tree.train_and_score(docs.limit(0)).count() == 0
 
 
+def test_equal_words_and_no_others_have_equal_hashes():
+    pick = random.Random(9)
+    words = [bytes(pick.choices(range(256), k=pick.randint(1, 12))) for _ in range(20_000)] + [b"a" * n for n in range(1, 400)] + [b"\0", b"\0\0", "\u00c9cole".encode()]
+    data = b" \n".join(words)
+    split = data.lower().split()
+    names = {}
+    assert len(split) == len(suffix_tree.word_hashes(data)) and all(names.setdefault(w, h) == h for w, h in zip(split, suffix_tree.word_hashes(data).tolist()))
+    assert len(set(names.values())) == len(names) and len(suffix_tree.word_hashes(b"")) == len(suffix_tree.word_hashes(b" \t")) == 0
+
+
 def test_symbols_do_not_depend_on_pieces(monkeypatch):
     text = " ".join(random.Random(2).choices(["a", "B", "Cc", "12", "x" * 300], k=500))
     ((_, whole),) = suffix_tree.symbols(text, 4)

@@ -179,7 +179,8 @@ def _vectors(found: DataFrame) -> DataFrame:
 def train(findings: DataFrame, trees: int = 30, depth: int = 10, most: int = 20_000, seed: int = 7) -> RandomForestClassificationModel:
     """A forest from labelled findings (candidate, before, after, path, is_secret); a documented bound of ``most`` rows with the smallest hashes is used. Rows without a label are left out. The model can be saved and loaded as any of Spark's."""
     rows = findings.where(F.col("is_secret").isNotNull()).orderBy(F.xxhash64("candidate", "before"), "candidate", "before").limit(most)
-    rows = _vectors(rows).select("features", F.col("is_secret").cast("double").alias("label"))
+    # written once, since fitting reads its rows several times
+    rows = materialize(_vectors(rows).select("features", F.col("is_secret").cast("double").alias("label")), "findings")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 

@@ -183,31 +183,3 @@ def near_duplicates(docs: DataFrame, width: int = 4, most_bits: int = 4, id_col:
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(smallest, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, width: int = 4, most_bits: int = 4) -> DataFrame:
-    """The document rows, with all columns, of which one stays for each component: that of the smallest doc_id.
-
-    Of several rows of that id the one with the smallest hash of its text stays, once if it is repeated;
-    rows with a null id stay only where no row of the component has one.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_batches(whole, 1):
-                found = b"".join([fingerprint(t or "", width) for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], names=["doc_id", "content", "fp"])
-
-    prints = materialize(rows.withColumn("content", F.xxhash64("text")).mapInArrow(run, "doc_id long, content long, fp long"), "fingerprints")
-    firsts = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first"))
-    parts = materialize(classes_of(firsts.select("fp"), most_bits), "components")
-    stay = firsts.join(parts, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("stay_id"), F.col("first.content").alias("stay_content"))
-    rows_of = prints.groupBy("doc_id", "content").agg(F.count("*").alias("copies"))
-    stay = materialize(stay.join(rows_of, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("content") == F.col("stay_content"))).select("stay_id", "stay_content", "copies"), "stay")
-    content = F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("stay_id")) & (content == F.col("stay_content")))
-    # only rows that are repeated need to meet again
-    once = kept.where("copies = 1").select(*[docs[c] for c in docs.columns])
-    repeated = kept.where("copies > 1").dropDuplicates(["stay_id", "stay_content"]).select(*[docs[c] for c in docs.columns])
-    return once.union(repeated)

@@ -16,7 +16,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fotonflow.llm import fixity, quality, registry, secret_scan, simhash, suffix_tree, topk, vector_graph
+from fotonflow.llm import fixity, quality, registry, secret_scan, simhash, simhash_texts, suffix_tree, topk, vector_graph
 from fotonflow.llm.common import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,11 +90,67 @@ def test_near_duplicates_against_brute_force(spark):
     want = sorted(((r.doc_id, f"{p:016x}", min(least[root[p]], default=None)) for r, p in zip(rows, prints)), key=repr)
     got = simhash.near_duplicates(documents(spark)).collect()
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=repr) == want
-    kept = simhash.representatives(documents(spark)).collect()
-    assert len(kept) == len(least.keys() | set(root.values())) and all(r.doc_id in (None, min(least[root[brute_fingerprint(r.text)]], default=None)) for r in kept)
     assert simhash.near_duplicates(documents(spark).limit(0)).count() == 0
 
 
+def shingle_set(text):
+    words = WORD.findall(lowered(text))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
+
+
+def alike(a, b):
+    return 10 * len(a & b) >= 8 * len(a | b)
+
+
+def test_representatives_against_brute_force(spark):
+    rows = documents(spark).collect()
+    root = brute_components(sorted({shingle_set(r.text) for r in rows}, key=sorted), alike)
+    least = defaultdict(list)
+    for r in rows:
+        least[root[shingle_set(r.text)]] += [r.doc_id] * (r.doc_id is not None)
+    kept = simhash_texts.representatives(documents(spark))
+    assert kept.columns == documents(spark).columns
+    kept = kept.collect()
+    assert len(kept) == len(set(root.values()))
+    assert all(r.doc_id in (None, min(least[root[shingle_set(r.text)]], default=None)) for r in kept)
+    assert simhash_texts.representatives(documents(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [8192, 50])
+def test_large_groups_of_near_copies(spark, block):
+    """Groups of 150 near copies, whose edits leave 0.8 and more to their source, beside unrelated texts of common phrases."""
+    pick = random.Random(5)
+    phrase = ["it was the best of times", "all happy families are alike", "call me by my name"]
+    texts = []
+    for g in range(3):
+        source = [f"g{g}w{pick.randrange(400)}" for _ in range(150)]
+        for _ in range(150):
+            copy = list(source)
+            for _ in range(pick.randrange(4)):
+                copy[pick.randrange(150)] = f"edit{pick.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(pick.choice(phrase) + f" x{pick.randrange(50)}" for _ in range(20)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(shingle_set(t), i)
+    sets = {i: s for s, i in first.items()}
+    root = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    prints = simhash_texts._prints(docs, 5)
+    classes = prints.groupBy("node").agg(F.min(F.struct("doc_id", "content")).alias("first"), F.min("bits").alias("bits"))
+    names = {r.node: r.first.doc_id for r in classes.collect()}
+    got = defaultdict(set)
+    for r in simhash_texts.similar_classes(docs, classes, block=block).collect():
+        got[r.component].add(names[r.node])
+    want = defaultdict(set)
+    for i, r in root.items():
+        want[r].add(i)
+    # nothing is joined that should not be; a pair at 0.8 is met with probability 0.9
+    assert all(any(g <= w for w in want.values()) for g in got.values())
+    large = [w for w in want.values() if len(w) > 1]
+    assert sum(max((len(g & w) for g in got.values()), default=0) for w in large) >= 0.95 * sum(map(len, large))
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return quality.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
@@ -361,8 +417,8 @@ def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     rows = [r for r in docs.collect() if model.score(r.text) >= 0.3]
-    prints = {r.doc_id: brute_fingerprint(r.text) for r in rows}
-    root = brute_components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    sets = {r.doc_id: shingle_set(r.text) for r in rows}
+    root = brute_components(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
     stay = {i for i, r in root.items() if i == r}
     forest = secret_scan.default_forest(spark)
     secrets = {(r.doc_id, r.candidate) for r in secret_scan.scan(docs, forest).where("is_secret").collect()}

@@ -10,28 +10,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fotonflow.llm import packing, quality, secret_scan, simhash
+from fotonflow.llm import packing, quality, secret_scan, simhash_texts
 from fotonflow.llm.common import materialize, table
 from fotonflow.llm.registry import vocabulary
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of these documents, does not reject."""
+    """Documents that the classifier, fitted on the labels of these documents, does not reject.
+
+    Null and empty texts are scored like any other; repeated rows are each decided alike; all columns pass.
+    """
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    Null and empty texts are copies of each other; of repeated rows one stays; columns of any name pass through.
+    """
+    return simhash_texts.representatives(docs)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked."""
-    return secret_scan.redact(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    """All documents, with the secrets in their texts masked; null and empty texts and repeated rows stay as they are."""
+    return secret_scan.redact(docs, secret_scan.default_forest(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents as sequences of power-of-two lengths."""
+    """Pieces of all documents as sequences of power-of-two lengths; a null or empty text is its end token alone."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

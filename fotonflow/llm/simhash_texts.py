@@ -26,8 +26,9 @@ SEED = 42
 GROUPS, EARLY = 128, 16
 #: Positional bytes that are tallied, and how many of them a kept pair shares.
 TALLIED, SHARED, SURE = 128, 16, 40
-#: In lists of up to ``WIDELY`` nodes a node without a sure pair meets all others, in longer ones the ``NEAREST`` and their ties.
-WIDELY, NEAREST = 256, 32
+#: In lists of up to ``SHORT`` nodes all pairs are tallied at once. In those of up to ``WIDELY`` nodes a node without a sure pair first meets
+#: all others, in longer ones the ``NEAREST`` and their ties; what these pairs leave in two components is then compared whole.
+SHORT, WIDELY, NEAREST = 16, 256, 32
 #: Features of the signed sums from which the bits are drawn.
 SUMS = 512
 
@@ -96,7 +97,7 @@ def _tree(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _pairs(runs: np.ndarray, prints: np.ndarray, short: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(runs: np.ndarray, prints: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs kept within runs of equal numbers; all pairs of short runs, by distance in the run."""
     bounds = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
     sizes = np.diff(bounds)
@@ -186,31 +187,66 @@ def _met(classes: DataFrame) -> DataFrame:
     return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key int, node long")
 
 
-def _proposed(classes: DataFrame, block: int) -> DataFrame:
-    """(a, b, late): pairs of nodes that meet and share enough bytes; late if they met in none of the early groups.
-
-    Lists longer than ``block`` are split by hash and each pair of parts meets in a run of its own.
-    """
-    met = materialize(_met(classes), "met")
+def _meetings(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """(key, meet, node, bits) in sorted partitions; lists longer than ``block`` are split by hash and each pair of parts meets in a run of its own."""
     long = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("long"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
-    met = met.join(long, F.col("key") == F.col("long"), "left").select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+    met = met.join(long, F.col("key") == F.col("long"), "left").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part").cast("long") * 65536 + F.greatest(o, "part"))
-    met = met.select("key", F.explode(others).alias("meet"), "node")
+    met = met.withColumn("meet", F.explode(others)).drop("long", "parts", "part")
     tallied = classes.select("node", F.substring("bits", 1, TALLIED).alias("bits"))
+    return met.join(tallied, "node").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
+
+
+def _bounds(rows: pa.Table) -> np.ndarray:
+    """A number for each row that grows where key or meet change."""
+    key, meet = rows.column("key").to_numpy(), rows.column("meet").to_numpy()
+    return np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (meet[1:] != meet[:-1]))])
+
+
+def _proposed(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """(a, b, late): pairs of nodes that meet and share enough bytes; late if they met in none of the early groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 2):
-            key, meet, node = (rows.column(c).to_numpy() for c in range(3))
-            step = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (meet[1:] != meet[:-1]))])
-            x, y = _pairs(step, _bytes(rows.column(3), TALLIED))
+            key, node = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+            x, y = _pairs(_bounds(rows), _bytes(rows.column(3), TALLIED))
             late = (key[x] >> 24) >= EARLY
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(late)], names=["a", "b", "late"])
 
-    met = met.join(tallied, "node").select("key", "meet", "node", "bits").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
+    met = _meetings(met, classes, block).select("key", "meet", "node", "bits")
     return met.mapInArrow(run, "a long, b long, late boolean").groupBy("a", "b").agg(F.min("late").alias("late"))
 
 
+def _apart(part: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of unlike ``part`` that share enough bytes: the rows outside the largest part against all."""
+    names, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
+    mine = np.flatnonzero(which != sizes.argmax())
+    step = max(1, (1 << 26) // (len(part) * TALLIED))
+    for at in range(0, len(mine), step):
+        some = mine[at : at + step]
+        x, y = np.nonzero((_tally(prints[some, None], prints[None]) >= SHARED) & (part[some, None] != part[None]))
+        yield some[x], y
+
+
+def _rest(met: DataFrame, classes: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """(a, b): all pairs that share enough bytes and meet in a list longer than ``SHORT``, while their ends are still in two components."""
+    met = met.join(joined.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("key", "node", F.coalesce("component", "node").alias("part_of"))
+    busy = met.groupBy("key").agg(F.count("*").alias("n"), F.min("part_of").alias("lo"), F.max("part_of").alias("hi")).where((F.col("n") > SHORT) & (F.col("lo") < F.col("hi")))
+    met = materialize(met.join(busy.select("key"), "key", "left_semi"), "apart")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 2):
+            node, part, prints = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bytes(rows.column(4), TALLIED)
+            cuts = np.flatnonzero(np.diff(_bounds(rows), prepend=-1, append=-2))
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                for x, y in _apart(part[lo:hi], prints[lo:hi]):
+                    a, b = node[lo:hi][x], node[lo:hi][y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _meetings(met, classes, block).select("key", "meet", "node", "part_of", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, hashes) for the rows of docs that stand for the nodes."""
 
@@ -244,17 +280,23 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_classes(docs: DataFrame, classes: DataFrame, width: int = 5, least: float = 0.8, block: int = 8192) -> DataFrame:
     """(node, component) of the nodes that are linked with others; ``classes`` has (node, bits, first).
 
-    Pairs of the early groups are compared first; of the rest only those whose ends are not yet in one component.
+    Pairs of the early groups are compared first; of the others only those whose ends are not yet in one component; at last
+    all pairs that meet in longer lists, have not been compared and are still in two components.
     """
-    pairs = materialize(_proposed(classes, block), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs, materialize(ends.join(classes.select("node", "first"), "node"), "ends"), width), "sets")
+    met = materialize(_met(classes), "met")
+    pairs = materialize(_proposed(met, classes, block), "pairs")
+    hashes = lambda some: materialize(_sets(docs, materialize(some.select(F.col("a").alias("node")).union(some.select("b")).distinct().join(classes.select("node", "first"), "node"), "ends"), width), "sets")
+    sets = hashes(pairs)
     early = materialize(_similar(pairs.where("not late"), sets, least), "early")
     known = materialize(connected_components(early), "components")
     of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     late = pairs.where("late").join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b")
-    found = materialize(_similar(late, sets, least), "late")
-    return connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+    edges = lambda parts, found: parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
+    joined = materialize(connected_components(edges(known, materialize(_similar(late, sets, least), "late"))), "joined")
+    rest = materialize(_rest(met, classes, joined, block).join(pairs, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return joined
+    return connected_components(edges(joined, materialize(_similar(rest, hashes(rest), least), "found")))
 
 
 def representatives(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

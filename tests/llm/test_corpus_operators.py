@@ -151,6 +151,19 @@ def test_large_groups_of_near_copies(spark, block):
     assert sum(max((len(g & w) for g in got.values()), default=0) for w in large) >= 0.95 * sum(map(len, large))
 
 
+def test_pairs_between_parts_are_all_told():
+    """Whatever the parts, no pair of rows of two parts that shares enough bytes is left out, and none within a part is told."""
+    draw = np.random.default_rng(3)
+    prints = np.repeat(draw.integers(0, 256, (1, simhash_texts.TALLIED)), 60, 0).astype(np.uint8)
+    for i, row in enumerate(prints):
+        row[draw.choice(simhash_texts.TALLIED, 70 + i // 2, replace=False)] = draw.integers(0, 256, 70 + i // 2)
+    for parts in ([7] * 60, list(range(60)), draw.integers(0, 4, 60), [1] * 59 + [2]):
+        part = np.array(parts)
+        got = {tuple(sorted(p)) for x, y in simhash_texts._apart(part, prints) for p in zip(x.tolist(), y.tolist())}
+        want = {(i, j) for i, j in combinations(range(60), 2) if part[i] != part[j] and (prints[i] == prints[j]).sum() >= simhash_texts.SHARED}
+        assert got == want
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return quality.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))

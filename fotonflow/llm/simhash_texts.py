@@ -22,13 +22,12 @@ from fotonflow.llm.bpe import small_batches
 from fotonflow.llm.common import connected_components, materialize
 
 SEED = 42
-#: Groups of three positional bytes that are indexed, of which the first ``EARLY`` are verified first.
+#: Groups of three positional bytes that are indexed, of which the first ``EARLY`` are searched first.
 GROUPS, EARLY = 128, 16
 #: Positional bytes that are tallied, and how many of them a kept pair shares.
 TALLIED, SHARED, SURE = 128, 16, 40
-#: In lists of up to ``SHORT`` nodes all pairs are tallied at once. In those of up to ``WIDELY`` nodes a node without a sure pair first meets
-#: all others, in longer ones the ``NEAREST`` and their ties; what these pairs leave in two components is then compared whole.
-SHORT, WIDELY, NEAREST = 16, 256, 32
+#: In lists of up to ``SHORT`` nodes all pairs are told at once, in longer ones trees of sure pairs; what these leave in two components is then compared whole.
+SHORT = 16
 #: Features of the signed sums from which the bits are drawn.
 SUMS = 512
 
@@ -69,50 +68,38 @@ def _best(front: np.ndarray, left: np.ndarray, prints: np.ndarray, cells: int =
     return which, most
 
 
-def _tree(prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs that join a long posting list: trees of pairs that share much, and pairs between the rows of small trees and all others."""
-    label, left, out = np.zeros(len(prints), np.int64), np.arange(len(prints)), []
+def _tree(part: np.ndarray, prints: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Trees of pairs that share much, over the rows of a long posting list; rows of one ``part`` are joined already."""
+    left, out = np.arange(len(prints)), []
     while len(left):
-        front, left = left[:1], left[1:]
-        seed = front[0]
-        label[seed] = seed
+        front = left[part[left] == part[left[0]]]
+        left = left[part[left] != part[left[0]]]
         while len(front) and len(left):
             parent, most = _best(front, left, prints)
             hit = most >= SURE
             out.append((parent[hit], left[hit]))
-            front, left = left[hit], left[~hit]
-            label[front] = seed
-    names, sizes = np.unique(label, return_counts=True)
-    most = len(prints) if len(prints) <= WIDELY else NEAREST
-    for name in names[np.argsort(sizes, kind="stable")][:-1]:
-        mine, others = np.flatnonzero(label == name), np.flatnonzero(label != name)
-        step = max(1, (1 << 26) // (len(others) * TALLIED))
-        for at in range(0, len(mine), step):
-            t = _tally(prints[mine[at : at + step], None], prints[None, others])
-            good = t >= SHARED
-            if len(others) > most:
-                good &= t >= np.partition(t, -most, axis=1)[:, -most, None]
-            x, y = np.nonzero(good)
-            out.append((mine[at + x], others[y]))
+            reached = np.isin(part[left], part[left[hit]])
+            front, left = left[reached], left[~reached]
     return out
 
 
-def _pairs(runs: np.ndarray, prints: np.ndarray, short: int = SHORT) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs kept within runs of equal numbers; all pairs of short runs, by distance in the run."""
+def _pairs(runs: np.ndarray, part: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs of unlike ``part`` within runs of equal numbers: all of short runs, trees of long ones."""
     bounds = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
     sizes = np.diff(bounds)
     run = np.repeat(np.arange(len(sizes)), sizes)
-    few = np.flatnonzero(sizes[run] <= short)
+    few = np.flatnonzero(sizes[run] <= SHORT)
     out = []
-    for d in range(1, short):
+    for d in range(1, SHORT):
         same = np.flatnonzero(run[few[d:]] == run[few[:-d]])
         if not len(same):
             break
         x, y = few[same], few[same + d]
-        hit = _tally(prints[x], prints[y]) >= SHARED
+        hit = (part[x] != part[y]) & (_tally(prints[x], prints[y]) >= SHARED)
         out.append((x[hit], y[hit]))
-    for k in np.flatnonzero(sizes > short):
-        out += [(x + bounds[k], y + bounds[k]) for x, y in _tree(prints[bounds[k] : bounds[k + 1]])]
+    for k in np.flatnonzero(sizes > SHORT):
+        lo, hi = bounds[k], bounds[k + 1]
+        out += [(x + lo, y + lo) for x, y in _tree(part[lo:hi], prints[lo:hi])]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *[x for x, _ in out]]), np.concatenate([none, *[y for _, y in out]])
 
@@ -188,63 +175,50 @@ def _met(classes: DataFrame) -> DataFrame:
 
 
 def _meetings(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """(key, meet, node, bits) in sorted partitions; lists longer than ``block`` are split by hash and each pair of parts meets in a run of its own."""
-    long = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("long"), F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    met = met.join(long, F.col("key") == F.col("long"), "left").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, "part").cast("long") * 65536 + F.greatest(o, "part"))
-    met = met.withColumn("meet", F.explode(others)).drop("long", "parts", "part")
+    """(key, meet, node, part, bits) in sorted partitions; lists longer than ``block`` are split by hash and each pair of splits meets in a run of its own."""
+    long = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("key").alias("long"), F.ceil(F.col("n") / block).cast("int").alias("splits"))
+    splits = F.coalesce("splits", F.lit(1))
+    met = met.join(long, F.col("key") == F.col("long"), "left").withColumns({"splits": splits, "split": F.pmod(F.xxhash64("node"), splits).cast("int")})
+    others = F.transform(F.sequence(F.lit(0), F.col("splits") - 1), lambda o: F.least(o, "split").cast("long") * 65536 + F.greatest(o, "split"))
+    met = met.withColumn("meet", F.explode(others))
     tallied = classes.select("node", F.substring("bits", 1, TALLIED).alias("bits"))
-    return met.join(tallied, "node").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
+    return met.join(tallied, "node").select("key", "meet", "node", "part", "bits").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
 
 
-def _bounds(rows: pa.Table) -> np.ndarray:
-    """A number for each row that grows where key or meet change."""
-    key, meet = rows.column("key").to_numpy(), rows.column("meet").to_numpy()
-    return np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (meet[1:] != meet[:-1]))])
+def _open_lists(met: DataFrame, joined: DataFrame) -> DataFrame:
+    """(key, node, part) of the lists that hold more than one part: the components so far, or the nodes of none."""
+    met = met.join(joined.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    open_ = met.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    return materialize(met.join(open_, "key", "left_semi"), "open")
 
 
-def _proposed(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
-    """(a, b, late): pairs of nodes that meet and share enough bytes; late if they met in none of the early groups."""
+def _proposed(met: DataFrame, classes: DataFrame, block: int, whole: bool = False) -> DataFrame:
+    """(a, b): pairs of nodes of unlike parts that meet and share enough bytes; all of them if ``whole``, trees in long lists if not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 2):
-            key, node = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-            x, y = _pairs(_bounds(rows), _bytes(rows.column(3), TALLIED))
-            late = (key[x] >> 24) >= EARLY
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(late)], names=["a", "b", "late"])
+            key, meet, node, part = (rows.column(c).to_numpy() for c in range(4))
+            prints = _bytes(rows.column(4), TALLIED)
+            number = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (meet[1:] != meet[:-1]))])
+            for x, y in _apart(number, part, prints) if whole else [_pairs(number, part, prints)]:
+                a, b = node[x], node[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    met = _meetings(met, classes, block).select("key", "meet", "node", "bits")
-    return met.mapInArrow(run, "a long, b long, late boolean").groupBy("a", "b").agg(F.min("late").alias("late"))
+    return _meetings(met, classes, block).mapInArrow(run, "a long, b long").distinct()
 
 
-def _apart(part: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of unlike ``part`` that share enough bytes: the rows outside the largest part against all."""
-    names, which, sizes = np.unique(part, return_inverse=True, return_counts=True)
-    mine = np.flatnonzero(which != sizes.argmax())
-    step = max(1, (1 << 26) // (len(part) * TALLIED))
-    for at in range(0, len(mine), step):
-        some = mine[at : at + step]
-        x, y = np.nonzero((_tally(prints[some, None], prints[None]) >= SHARED) & (part[some, None] != part[None]))
-        yield some[x], y
-
-
-def _rest(met: DataFrame, classes: DataFrame, joined: DataFrame, block: int) -> DataFrame:
-    """(a, b): all pairs that share enough bytes and meet in a list longer than ``SHORT``, while their ends are still in two components."""
-    met = met.join(joined.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("key", "node", F.coalesce("component", "node").alias("part_of"))
-    busy = met.groupBy("key").agg(F.count("*").alias("n"), F.min("part_of").alias("lo"), F.max("part_of").alias("hi")).where((F.col("n") > SHORT) & (F.col("lo") < F.col("hi")))
-    met = materialize(met.join(busy.select("key"), "key", "left_semi"), "apart")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, 2):
-            node, part, prints = rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bytes(rows.column(4), TALLIED)
-            cuts = np.flatnonzero(np.diff(_bounds(rows), prepend=-1, append=-2))
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                for x, y in _apart(part[lo:hi], prints[lo:hi]):
-                    a, b = node[lo:hi][x], node[lo:hi][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return _meetings(met, classes, block).select("key", "meet", "node", "part_of", "bits").mapInArrow(run, "a long, b long").distinct()
+def _apart(runs: np.ndarray, part: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of unlike ``part`` that share enough bytes, within runs: the rows outside the largest part against all."""
+    bounds = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1], [True]]))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        mine, those = part[lo:hi], prints[lo:hi]
+        names, which, sizes = np.unique(mine, return_inverse=True, return_counts=True)
+        others = np.flatnonzero(which != sizes.argmax())
+        step = max(1, (1 << 26) // (len(mine) * TALLIED))
+        for at in range(0, len(others), step):
+            some = others[at : at + step]
+            x, y = np.nonzero((_tally(those[some, None], those[None]) >= SHARED) & (mine[some, None] != mine[None]))
+            yield lo + some[x], lo + y
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -280,23 +254,23 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def similar_classes(docs: DataFrame, classes: DataFrame, width: int = 5, least: float = 0.8, block: int = 8192) -> DataFrame:
     """(node, component) of the nodes that are linked with others; ``classes`` has (node, bits, first).
 
-    Pairs of the early groups are compared first; of the others only those whose ends are not yet in one component; at last
-    all pairs that meet in longer lists, have not been compared and are still in two components.
+    Three searches, each of which leaves out pairs whose ends the ones before have joined: the early groups, all groups, and
+    all groups with all pairs of long lists. So no pair that meets and shares enough bytes stays uncompared between two components.
     """
     met = materialize(_met(classes), "met")
-    pairs = materialize(_proposed(met, classes, block), "pairs")
-    hashes = lambda some: materialize(_sets(docs, materialize(some.select(F.col("a").alias("node")).union(some.select("b")).distinct().join(classes.select("node", "first"), "node"), "ends"), width), "sets")
-    sets = hashes(pairs)
-    early = materialize(_similar(pairs.where("not late"), sets, least), "early")
-    known = materialize(connected_components(early), "components")
-    of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    late = pairs.where("late").join(of("a"), "a", "left").join(of("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b")
-    edges = lambda parts, found: parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
-    joined = materialize(connected_components(edges(known, materialize(_similar(late, sets, least), "late"))), "joined")
-    rest = materialize(_rest(met, classes, joined, block).join(pairs, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return joined
-    return connected_components(edges(joined, materialize(_similar(rest, hashes(rest), least), "found")))
+    joined = classes.select("node", F.col("node").alias("component")).limit(0)
+    seen = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for some, whole in ((met.where(F.col("key") < EARLY << 24), False), (met, False), (met, True)):
+        pairs = _proposed(_open_lists(some, joined), classes, block, whole).join(seen, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = materialize(ends.join(classes.select("node", "first"), "node"), "ends")
+        found = materialize(_similar(pairs, materialize(_sets(docs, ends, width), "sets"), least), "found")
+        edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
+        joined, seen = materialize(connected_components(edges), "joined"), seen.union(pairs)
+    return joined
 
 
 def representatives(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A similarity of 0.8 leaves about 15 % of SimHash bits different, so no group of whole bytes is shared for certain. The
 fingerprint is therefore 384 bytes wide and indexed in 128 groups of three: a pair of Jaccard similarity 0.8 meets in a
-posting list with probability 0.9, of 0.85 with 0.99, of 0.9 with 0.9999. Pairs that meet are kept if they share 16 of the
-first 128 positional bytes (at 0.8 the mean is 34, five the deviation; unrelated texts share half a byte), and those are
+posting list with probability 0.9, of 0.85 with 0.99, of 0.9 with 0.9999. Pairs that meet are kept if they share 64 of the
+384 positional bytes (at 0.8 the mean is 105, nine the deviation; unrelated texts share one or two), and those are
 compared by the exact Jaccard similarity of their shingles.
 """
 
@@ -24,8 +24,8 @@ from fotonflow.llm.common import connected_components, materialize
 SEED = 42
 #: Groups of three positional bytes that are indexed, of which the first ``EARLY`` are searched first.
 GROUPS, EARLY = 128, 16
-#: Positional bytes that are tallied, and how many of them a kept pair shares.
-TALLIED, SHARED, SURE = 128, 16, 40
+#: Positional bytes that are tallied, how many of them a kept pair shares, and how many a pair of the trees in long lists.
+TALLIED, SHARED, SURE = 384, 64, 120
 #: In lists of up to ``SHORT`` nodes all pairs are told at once, in longer ones trees of sure pairs; what these leave in two components is then compared whole.
 SHORT = 16
 #: Features of the signed sums from which the bits are drawn.
@@ -181,8 +181,7 @@ def _meetings(met: DataFrame, classes: DataFrame, block: int) -> DataFrame:
     met = met.join(long, F.col("key") == F.col("long"), "left").withColumns({"splits": splits, "split": F.pmod(F.xxhash64("node"), splits).cast("int")})
     others = F.transform(F.sequence(F.lit(0), F.col("splits") - 1), lambda o: F.least(o, "split").cast("long") * 65536 + F.greatest(o, "split"))
     met = met.withColumn("meet", F.explode(others))
-    tallied = classes.select("node", F.substring("bits", 1, TALLIED).alias("bits"))
-    return met.join(tallied, "node").select("key", "meet", "node", "part", "bits").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
+    return met.join(classes.select("node", "bits"), "node").select("key", "meet", "node", "part", "bits").repartition("key", "meet").sortWithinPartitions("key", "meet", "node")
 
 
 def _open_lists(met: DataFrame, joined: DataFrame) -> DataFrame:

@@ -99,9 +99,11 @@ def fold(raw: np.ndarray, change: np.ndarray, starts: np.ndarray, states: np.nda
     return out
 
 
-def stabilise(targets: DataFrame, channel: Channel) -> DataFrame:
+def stabilise(targets: DataFrame, channel: Channel, raw: Column | None = None) -> DataFrame:
     """Fold (stream_id, ts, event_id, scene_change, raw array) into (stream_id, event_id, values), in order of (ts, event_id).
 
+    ``raw`` may be an expression over the rows of ``targets`` in place of their column: it is evaluated on the sorted rows, so only
+    the columns that it reads are shuffled, not the arrays.
     A null array, and a null or NaN element, keeps the previous state; a null scene_change counts as false; a null stream_id is a
     stream of its own; arrays have the channel's length. Repeated rows are frames of their own; an empty table gives no rows.
     """
@@ -125,5 +127,6 @@ def stabilise(targets: DataFrame, channel: Channel) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * len(first), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], names=["stream_id", "event_id", "values"])
 
-    rows = targets.select("stream_id", "event_id", "scene_change", "raw", "ts").repartition("stream_id").sortWithinPartitions("stream_id", "ts", "event_id")
-    return rows.drop("ts").mapInArrow(run, "stream_id long, event_id long, values array<double>")
+    rows = targets.repartition("stream_id").sortWithinPartitions("stream_id", "ts", "event_id")
+    rows = rows.select("stream_id", "event_id", "scene_change", F.col("raw") if raw is None else raw.alias("raw"))
+    return rows.mapInArrow(run, "stream_id long, event_id long, values array<double>")

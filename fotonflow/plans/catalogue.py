@@ -99,12 +99,12 @@ def rule_wb_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scalar_fold(spark: SparkSession, sf_dir: str, raw: Column, channel: rules.Channel) -> DataFrame:
-    found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(raw)), channel)
+    found = rules.stabilise(views.raw_coefficients(spark, sf_dir), channel, F.array(raw))
     return found.select("stream_id", "event_id", micro(F.col("values")[0]).alias("value"))
 
 
 def _array_fold(spark: SparkSession, sf_dir: str, raw: list[Column], channel: rules.Channel) -> DataFrame:
-    found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(*raw)), channel)
+    found = rules.stabilise(views.raw_coefficients(spark, sf_dir), channel, F.array(*raw))
     cells = found.select("stream_id", "event_id", F.posexplode("values").alias("pos", "value"))
     return cells.withColumn("value", micro(F.col("value")))
 
@@ -134,7 +134,7 @@ def rule_ccm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_gamma_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 256 entries of each table, in millionths, as one text."""
     raw = [F.lit(i / (GAMMA_ENTRIES - 1)) * F.col("value") / 100 for i in range(GAMMA_ENTRIES)]
-    found = rules.stabilise(views.raw_coefficients(spark, sf_dir).withColumn("raw", F.array(*raw)), rules.PARAMS.gamma(GAMMA_ENTRIES))
+    found = rules.stabilise(views.raw_coefficients(spark, sf_dir), rules.PARAMS.gamma(GAMMA_ENTRIES), F.array(*raw))
     return found.select("stream_id", "event_id", F.array_join(F.transform("values", lambda x: F.floor(x * 1e6 + 0.5)), ",").alias("entries"))
 
 

@@ -64,6 +64,19 @@ def test_fold_equals_a_row_by_row_one(spark):
         assert got[i] == pytest.approx(state)
 
 
+def test_only_narrow_rows_are_shuffled_by_a_fold(spark):
+    """Arrays given as an expression are made after the exchange, with the same results as those of a column."""
+    rows = [(i % 3, i, i, i % 7 == 0, None if i % 11 == 0 else i / 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "stream_id long, ts long, event_id long, scene_change boolean, x double")
+    raw, channel = F.array(*[F.col("x") * i for i in range(64)]), rules.PARAMS.gamma(64)
+    late = rules.stabilise(df, channel, raw)
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :]
+    assert "array(" in plan and "array(" not in below
+    early = rules.stabilise(df.withColumn("raw", raw), channel)
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))
+
+
 def test_a_zero_mean_does_not_stop_the_job(spark):
     got = one(spark, **{f"c{i}": c for i, c in enumerate(rules.normalised([F.lit(1.0), F.lit(-1.0), F.lit(0.0)]))})
     assert got.c0 == math.inf and got.c1 == -math.inf and math.isnan(got.c2)

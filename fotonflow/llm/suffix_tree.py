@@ -7,8 +7,8 @@ own count, must reach ``divergence`` bits. A state's distribution is smoothed wi
 add-one distribution of single words, and each symbol is scored by the longest suffix of its history that is a state.
 
 Every position of the corpus (a symbol and its history) is dealt by the last words of its history, so a group
-holds whole subtrees: it counts them, tests them and scores its own positions, and the tree is never gathered
-anywhere. Contexts too common for one group (hot ones) are counted by a Spark aggregation; their positions are
+holds whole subtrees: it counts them, tests them and scores its own positions, some subtrees at a time, and the tree
+is never gathered anywhere. Contexts too common for one group (hot ones) are counted by a Spark aggregation; their positions are
 dealt by a longer context, and the counts that a group needs of them and of single words are joined to it.
 Words are 48-bit hashes and contexts 64-bit ones; positions travel as compressed columns, one row per group and chunk.
 """
@@ -34,6 +34,8 @@ from fotonflow.llm.common import materialize
 BLOCK, CHUNK = 1 << 20, 1 << 20
 #: Commonest words, whose hashes and counts every task holds (12 bytes each).
 COMMON = 1 << 19
+#: Positions of a group whose subtrees are grown at a time, about.
+SLICE = 1 << 18
 SPACES = re.compile(rb"[\x09-\x0d ]")
 
 
@@ -458,6 +460,30 @@ def grow(symbol: np.ndarray, past: Callable[[int], np.ndarray], train: np.ndarra
     return known, base, p, states
 
 
+def _slices(codes: np.ndarray, words: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """All positions of a group, in slices of about SLICE that have no context of the group's own in common.
+
+    Positions of equal first context that is not hot stay together; those with hot contexts only go anywhere.
+    """
+    n = codes.shape[1]
+    parts = max(1, -(-n // SLICE))
+    which = (np.arange(n) % parts).astype(np.int32)
+    for at in range(0, n if parts > 1 else 0, SLICE):
+        live, context = np.arange(at, min(n, at + SLICE)), None
+        for d in range(s.depth):
+            past = words[codes[d + 1, live]]
+            some = past != 0
+            live, past = live[some], past[some]
+            context = past if d == 0 else longer(context[some], past)
+            hot = among(context, s.hot[d].keys)[0] if d < len(s.hot) else np.zeros(len(live), bool)
+            which[live[~hot]] = mix(context, context, 47)[~hot].view(np.uint64) % np.uint64(parts)
+            live, context = live[hot], context[hot]
+            if not len(live):
+                break
+    for part in range(parts):
+        yield np.flatnonzero(which == part)
+
+
 SUMS = ["chunk", "uids", "ids", "nulls", "docs", "n", "known", "base", "score"]
 #: Log-probabilities are summed in steps of 2**-26 within a group.
 STEP = 2.0**-26
@@ -468,6 +494,7 @@ def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) ->
     keys = np.concatenate([s.common, counts["key"].to_numpy(np.int64)])
     order = np.argsort(keys)
     answers = keys[order], np.concatenate([s.common_counts, counts["c"].to_numpy(np.int64)])[order]
+    del keys, order
     docs = [unpacked(x, np.int32, True) for x in pdf["docs"]]
     stops = np.cumsum(list(map(len, docs)))
     # rarer words get codes after the common ones, row by row
@@ -479,16 +506,21 @@ def _sums(pdf: pd.DataFrame, counts: pd.DataFrame, s: Settings, states: bool) ->
             part = unpacked(column, np.int32)
             codes[d, stop - n : stop] = part + np.where(part > len(s.common), np.int32(first - 1 - len(s.common)), np.int32(0))
         first += len(own)
-    train = np.concatenate(docs) % 2 == 1
-    known, base, p, found = grow(words[codes[0]], lambda d: words[codes[d]], train, answers, s)
+    train = np.concatenate([d % 2 == 1 for d in docs])
+    values, found = (np.empty(stops[-1], bool), np.empty(stops[-1]), np.empty(stops[-1])), []
+    for some in _slices(codes, words, s):
+        known, base, p, levels = grow(words[codes[0, some]], lambda d, some=some: words[codes[d, some]], train[some], answers, s)
+        values[0][some], values[1][some], values[2][some] = known, np.log10(base) / STEP, np.log10(p) / STEP
+        found += levels
+        del known, base, p
     if states:
         return pd.DataFrame({k: np.concatenate([level[i] for level in found]) for i, k in enumerate(("length", "context", "n", "distinct_symbols", "bits"))})
+    del codes, words, train
     out = []
-    values = known.astype(np.float64), np.log10(base) / STEP, np.log10(p) / STEP
     for chunk, uids, ids, nulls, which, stop in zip(pdf["chunk"], pdf["uids"], pdf["ids"], pdf["nulls"], docs, stops):
         if len(which):
             first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-            sums = [np.rint(np.add.reduceat(x[stop - len(which) : stop], first)).astype(np.int64) for x in values]
+            sums = [np.rint(np.add.reduceat(x[stop - len(which) : stop], first, dtype=np.float64)).astype(np.int64) for x in values]
             out.append((chunk, b"", b"", b"", *map(packed, (which[first].astype(np.int64) // 2, np.diff(np.append(first, len(which))), *sums))))
         if len(uids):
             out.append((chunk, uids, ids, nulls, b"", b"", b"", b"", b""))

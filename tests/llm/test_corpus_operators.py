@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -267,6 +268,37 @@ def test_suffix_tree_against_a_plain_one(spark, least, most, group, common):
     assert suffix_tree.train_and_score(docs.limit(0)).count() == 0
 
 
+def test_a_group_is_grown_in_slices(monkeypatch):
+    """The subtrees of a group do not lie in memory together; sums and states are those of the whole group."""
+    pick = np.random.default_rng(8)
+    n, words = 6000, np.sort(pick.integers(1, 1 << 48, 40))
+    codes = (1 + 40 * pick.random((4, n)) ** 3).astype(np.int32)
+    for d in (2, 3):  # some histories are short
+        codes[d:, pick.choice(n, 200, replace=False)] = 0
+    codes[3, codes[2] == 0] = 0
+    top = np.sort(words[:2])
+    hot = suffix_tree.Hot(top, np.array([3000, 900]), np.array([40, 40]), np.array([True, False]))
+    s = suffix_tree.Settings(3, 2, 0.01, n, 40, (hot,), words, np.arange(40, 0, -1))
+    rows = []
+    for i, (lo, hi) in enumerate([(0, 1000), (1000, 1001), (1001, n)]):
+        docs = np.sort(pick.integers(0, 60, hi - lo)).astype(np.int32)
+        rows.append((i, b"", b"", b"", b"", suffix_tree.packed(docs, True), [suffix_tree.packed(c[lo:hi]) for c in codes]))
+    pdf = pd.DataFrame(rows, columns=["chunk", "uids", "ids", "nulls", "dictionary", "docs", "codes"])
+    keys = np.unique(suffix_tree.pair(np.repeat(top, 40), np.tile(words, 2)))
+    counts = pd.DataFrame({"key": keys, "c": pick.integers(1, 30, len(keys))})
+    seen, grow = [], suffix_tree.grow
+    monkeypatch.setattr(suffix_tree, "grow", lambda symbol, *rest: seen.append(len(symbol)) or grow(symbol, *rest))
+    whole = [suffix_tree._sums(pdf, counts, s, states) for states in (False, True)]
+    assert seen == [n, n]
+    seen.clear()
+    monkeypatch.setattr(suffix_tree, "SLICE", 500)
+    sliced = [suffix_tree._sums(pdf, counts, s, states) for states in (False, True)]
+    assert len(seen) == 24 and sum(seen) == 2 * n and max(seen) < n / 2
+    order = ["length", "context"]
+    assert whole[0].equals(sliced[0]) and len(whole[1]) > 50
+    assert whole[1].sort_values(order, ignore_index=True).equals(sliced[1].sort_values(order, ignore_index=True))
+
+
 def test_equal_words_and_no_others_have_equal_hashes():
     pick = random.Random(9)
     words = [bytes(pick.choices(range(256), k=pick.randint(1, 12))) for _ in range(20_000)] + [b"a" * n for n in range(1, 400)] + [b"\0", b"\0\0", "\u00c9cole".encode()]

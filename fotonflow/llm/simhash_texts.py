@@ -226,28 +226,21 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, 1):
-                found = [shingles(t or "", width).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+                found = [shingles(t or "", width).view(np.int64) for t in batch.column(1).to_pylist()]
+                stops = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(stops, pa.array(np.concatenate(found)))], names=["node", "hashes"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     met = text.join(nodes, F.col("id").eqNullSafe(F.col("first.doc_id")) & F.xxhash64("text").eqNullSafe(F.col("first.content"))).select("node", "text")
-    return met.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+    return met.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                hit[i] = both >= least * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(c).to_numpy()[hit]) for c in (0, 1)], names=["a", "b"])
-
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of ``least`` or more; two sets are held at a time."""
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    n, m, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    near = (F.least(n, m) >= F.lit(least) * F.greatest(n, m)) & (both >= F.lit(least) * (n + m - both))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").where(near).select("a", "b")
 
 
 def similar_classes(docs: DataFrame, classes: DataFrame, width: int = 5, least: float = 0.8, block: int = 8192) -> DataFrame:

@@ -152,6 +152,21 @@ def test_large_groups_of_near_copies(spark, block):
     assert sum(max((len(g & w) for g in got.values()), default=0) for w in large) >= 0.95 * sum(map(len, large))
 
 
+def test_pairs_of_long_texts_are_compared_two_sets_at_a_time(spark):
+    """Pairs do not travel in batches of both their sets, whose size would grow with the texts; the bound itself is a link."""
+    whole = list(range(1, 20_001))
+    cut = {1: whole, 2: whole[:16_000], 3: whole[:15_999], 4: [*whole[:18_000], *range(-2000, 0)], 5: [7], 6: [8]}
+    sets = spark.createDataFrame(list(cut.items()), "node long, hashes array<long>")
+    ids = list(cut)
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    found = simhash_texts._similar(pairs, sets, 0.8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    got = {tuple(r) for r in found.collect()}
+    assert got == {(a, b) for a in ids for b in ids if a < b and 10 * len(set(cut[a]) & set(cut[b])) >= 8 * len(set(cut[a]) | set(cut[b]))}
+    assert (1, 2) in got and (1, 3) not in got
+
+
 def test_pairs_between_parts_are_all_told():
     """Whatever the parts, no pair of rows of two parts that shares enough bytes is left out, and none within a part is told."""
     draw = np.random.default_rng(3)

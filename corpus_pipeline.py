@@ -15,11 +15,21 @@ from fotonflow.llm.common import materialize, table
 from fotonflow.llm.registry import vocabulary
 
 
+#: Bytes of a batch that goes to a Python worker. Its rows hold whole texts, and Spark's 64 MB are held several times over in each task.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the session, as a stage's last batches are made after the stage has returned; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of these documents, does not reject.
 
     Null and empty texts are scored like any other; repeated rows are each decided alike; all columns pass.
     """
+    _small_batches(spark)
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -28,6 +38,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null and empty texts are copies of each other; of repeated rows one stays; columns of any name pass through.
     """
+    _small_batches(spark)
     return simhash_texts.representatives(docs)
 
 
@@ -38,6 +49,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents as sequences of power-of-two lengths; a null or empty text is its end token alone."""
+    _small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fotonflow.llm.common import kept
+
 #: Fixed value: the characters of Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pre-tokeniser pattern of byte-level BPE.
@@ -222,15 +224,9 @@ class Codec:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def codec(spec: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    if (key := hash(spec)) not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return kept(("codec", hash(spec)), lambda: Codec(spec))
 
 
 def small_batches(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What this process keeps from task to task, by name; of one operator at a time.
+_kept: dict[Any, Any] = {}
+
+
+def kept(name: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made at first use.
+
+    Spark hands the workers of one stage to the next, so what another operator has left in this one is dropped first.
+    """
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Drop what an operator before has left in this worker, and give its memory back."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fotonflow.llm.bpe import TwoAges, byte_letters, small_batches
-from fotonflow.llm.common import materialize
+from fotonflow.llm.common import kept, materialize
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -84,14 +84,8 @@ class PieceTokenizer:
         return [b"".join(map(known, ps)) for ps in split]
 
 
-_tokenizers: dict[int, PieceTokenizer] = {}
-
-
 def tokenizer(spec: str) -> PieceTokenizer:
-    if (key := hash(spec)) not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = PieceTokenizer(spec)
-    return _tokenizers[key]
+    return kept(("tokenizer", hash(spec)), lambda: PieceTokenizer(spec))
 
 
 def binary_lengths(total: int, window: int) -> list[int]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotonflow.llm.bpe import small_batches
-from fotonflow.llm.common import materialize
+from fotonflow.llm.common import kept, materialize
 
 BITS = 18
 BIAS = 0
@@ -52,9 +52,6 @@ class WordCodes(dict):
         return code
 
 
-_codes = WordCodes()
-
-
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -80,6 +77,7 @@ def features(text: str) -> np.ndarray:
     Word unigrams and bigrams, and shape n-grams up to SHAPE_ORDER, where a shape also tells whether a
     word repeats the one before it.
     """
+    known = kept("word codes", WordCodes).__getitem__
     seen = [np.array([BIAS], np.uint64)]
     last = np.zeros(0, np.uint64)
     shapes = np.zeros(0, np.uint64)
@@ -87,7 +85,7 @@ def features(text: str) -> np.ndarray:
         words = block.split()
         if not words:
             continue
-        codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+        codes = np.fromiter(map(known, words), np.uint64, len(words))
         h = np.concatenate([last, codes >> np.uint64(8)])
         again = np.concatenate([np.zeros(1 - len(last), bool), h[1:] == h[:-1]]).astype(np.uint64)
         shapes = np.concatenate([shapes[-(SHAPE_ORDER - 1) :], (codes & np.uint64(127)) | again << np.uint64(7)])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotonflow.llm.bpe import small_batches
-from fotonflow.llm.common import connected_components, materialize
+from fotonflow.llm.common import connected_components, forget, materialize
 
 SEED = 42
 #: Groups of three positional bytes that are indexed, of which the first ``EARLY`` are searched first.
@@ -30,6 +30,8 @@ TALLIED, SHARED, SURE = 384, 64, 120
 SHORT = 16
 #: Features of the signed sums from which the bits are drawn.
 SUMS = 512
+#: Bytes that are compared at a time.
+CELLS = 1 << 23
 
 
 def shingles(text: str, width: int = 5) -> np.ndarray:
@@ -55,7 +57,7 @@ def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1, dtype=np.int16)
 
 
-def _best(front: np.ndarray, left: np.ndarray, prints: np.ndarray, cells: int = 1 << 26) -> tuple[np.ndarray, np.ndarray]:
+def _best(front: np.ndarray, left: np.ndarray, prints: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """For each row in ``left`` the row in ``front`` that shares most bytes, and how many."""
     most, which = np.full(len(left), -1, np.int16), np.zeros(len(left), np.int64)
     step = max(1, cells // (len(left) * TALLIED))
@@ -133,6 +135,7 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in small_batches(whole, 1):
                 for at in range(0, batch.num_rows, 256):
@@ -148,13 +151,15 @@ def _met(classes: DataFrame) -> DataFrame:
     """(key, node) of all postings whose list holds more than one node; lists are told by their neighbours in sorted partitions."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             b = _bytes(pa.chunked_array([batch.column(1)]), GROUPS * 3).reshape(-1, GROUPS, 3).astype(np.int32)
             keys = (np.arange(GROUPS, dtype=np.int32) << 24) | (b[..., 0] << 16) | (b[..., 1] << 8) | b[..., 2]
             nodes = np.repeat(batch.column(0).to_numpy(), GROUPS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], names=["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         key, node, open_ = None, None, False  # the last row, and whether it has been met already
         for batch in batches:
             if not batch.num_rows:
@@ -195,6 +200,7 @@ def _proposed(met: DataFrame, classes: DataFrame, block: int, whole: bool = Fals
     """(a, b): pairs of nodes of unlike parts that meet and share enough bytes; all of them if ``whole``, trees in long lists if not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for rows in _runs(batches, 2):
             key, meet, node, part = (rows.column(c).to_numpy() for c in range(4))
             prints = _bytes(rows.column(4), TALLIED)
@@ -213,7 +219,7 @@ def _apart(runs: np.ndarray, part: np.ndarray, prints: np.ndarray) -> Iterator[t
         mine, those = part[lo:hi], prints[lo:hi]
         names, which, sizes = np.unique(mine, return_inverse=True, return_counts=True)
         others = np.flatnonzero(which != sizes.argmax())
-        step = max(1, (1 << 26) // (len(mine) * TALLIED))
+        step = max(1, CELLS // (len(mine) * TALLIED))
         for at in range(0, len(others), step):
             some = others[at : at + step]
             x, y = np.nonzero((_tally(those[some, None], those[None]) >= SHARED) & (mine[some, None] != mine[None]))
@@ -224,6 +230,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, hashes) for the rows of docs that stand for the nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in small_batches(whole, 1):
                 found = [shingles(t or "", width).view(np.int64) for t in batch.column(1).to_pylist()]

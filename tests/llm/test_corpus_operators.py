@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fotonflow.llm import fixity, quality, registry, secret_scan, simhash, simhash_texts, suffix_tree, topk, vector_graph
-from fotonflow.llm.common import connected_components
+from fotonflow.llm.common import connected_components, forget, kept
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -506,3 +508,42 @@ def test_stages_take_odd_and_empty_documents(spark):
             assert stage(spark, docs.limit(0), SF).count() == 0
             assert stage(spark, docs, SF).count() > 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, SF).columns == docs.columns
+
+
+def test_a_worker_keeps_one_operators_caches():
+    held = weakref.ref(corpus_pipeline.packing.tokenizer(registry.vocabulary("word_bpe_49k.json")))
+    quality.features("two words")
+    assert held() is None
+    codes = weakref.ref(kept("word codes", quality.WordCodes))
+    assert codes()["two"]
+    forget()
+    assert codes() is None
+
+
+def test_batches_of_the_pipeline_are_small(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["bytes", "rows"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    for _, stage in corpus_pipeline.STAGES:
+        if stage is not corpus_pipeline.secret_redaction:  # no Python there
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+            stage(spark, docs.limit(20), SF)
+            found = docs.mapInArrow(sizes, "bytes long, rows long").agg(F.max("bytes"), F.sum("rows")).first()
+            assert found[0] <= 2 * corpus_pipeline.BATCH_BYTES and found[1] == 4000
+
+
+def test_comparisons_take_little_memory():
+    n = 3000
+    prints = np.random.default_rng(1).integers(0, 256, (n, simhash_texts.TALLIED)).astype(np.uint8)
+    prints[1::2] = prints[::2]
+    tracemalloc.start()
+    try:
+        found = {(int(a), int(b)) for x, y in simhash_texts._apart(np.zeros(n, int), np.arange(n), prints) for a, b in zip(x, y)}
+        trees = simhash_texts._tree(np.arange(n), prints)
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+    assert {(min(p), max(p)) for p in found} == {(i, i + 1) for i in range(0, n, 2)}
+    assert sorted(int(b) - int(a) for x, y in trees for a, b in zip(x, y)) == [1] * (n // 2)

@@ -540,10 +540,37 @@ def test_comparisons_take_little_memory():
     prints[1::2] = prints[::2]
     tracemalloc.start()
     try:
-        found = {(int(a), int(b)) for x, y in simhash_texts._apart(np.zeros(n, int), np.arange(n), prints) for a, b in zip(x, y)}
+        found = {(int(a), int(b)) for x, y in simhash_texts._apart(np.zeros(n, int), np.arange(n), prints, np.zeros(n, int)) for a, b in zip(x, y)}
         trees = simhash_texts._tree(np.arange(n), prints)
         assert tracemalloc.get_traced_memory()[1] < 32 << 20
     finally:
         tracemalloc.stop()
     assert {(min(p), max(p)) for p in found} == {(i, i + 1) for i in range(0, n, 2)}
     assert sorted(int(b) - int(a) for x, y in trees for a, b in zip(x, y)) == [1] * (n // 2)
+
+
+def test_postings_without_company_go_and_no_other(spark):
+    draw = np.random.default_rng(3)
+    prints = draw.integers(0, 256, (250, simhash_texts.GROUPS * 3)).astype(np.uint8)
+    prints[1, 3:11] = ~prints[0, 3:11]
+    prints[:2, :3] = (5, 5, 5)  # a list of two unlike texts
+    prints[40:60, :3] = (9, 9, 9)
+    for i in range(40, 60, 2):  # ten pairs of near copies
+        prints[i + 1] = prints[i] ^ np.packbits(draw.random(prints.shape[1] * 8) < 0.1)
+        prints[i + 1, :3] = (9, 9, 9)
+    prints[100:200, 3:6] = (7, 7, 7)  # a long list
+    classes = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, bits binary")
+    group = lambda g, b: g << 24 | b << 16 | b << 8 | b
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        met = [(r.key, r.node) for r in simhash_texts._met(classes).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(set(met)) == len(met)
+    assert not [n for k, n in met if k == group(0, 5)]
+    assert sorted(n for k, n in met if k == group(0, 9)) == list(range(40, 60))
+    assert sorted(n for k, n in met if k == group(1, 7)) == list(range(100, 200))
+    shared = {tuple(sorted(p)) for p in ((i, i + 1) for i in range(40, 60, 2))}
+    for i, j in shared:
+        same = (prints[i] == prints[j]).reshape(-1, 3).all(axis=1)
+        assert {k >> 24 for k, n in met if n == i} & {k >> 24 for k, n in met if n == j} == set(np.flatnonzero(same).tolist())

@@ -416,6 +416,43 @@ def test_vector_graph_block_path_is_exact(spark):
     assert [got[i] for i in range(120)] == links.tolist()
 
 
+def test_vector_graph_ships_a_node_a_few_times_whatever_the_size(spark):
+    """Copies on disk do not multiply with the divisions that more nodes of a label take."""
+    pick, rows = np.random.default_rng(6), {}
+    for n in (1000, 4000):
+        table = pa.table({"shard": [1] * n, "node": range(n), "weight": [1] * n, "u": list(pick.normal(size=(n, 64)).astype(np.float32))})
+        nodes = spark.createDataFrame(table).selectExpr("shard", "node", "weight", "transform(u, x -> x / sqrt(aggregate(u, 0D, (s, y) -> s + y * y))) AS u")
+        rows[n] = vector_graph.shards(nodes, 10, 0.1).count() / n
+    assert rows[1000] <= 2.5 and rows[4000] <= 3 and rows[4000] <= 2 * rows[1000]
+
+
+@pytest.mark.parametrize("held, limit", [(1, 60), (1, 100), (2, 40), (12, 100)])
+def test_vector_graph_counts_a_pair_once_in_cells_leaves_and_parts(spark, monkeypatch, held, limit):
+    """Pairs that share several cells or leaves, parts of a dense cluster, copies in several batches, two lengths, more than the first label."""
+    monkeypatch.setattr(vector_graph, "HELD", held)
+    pick = np.random.default_rng(8)
+    v = pick.normal(size=(900, 24))
+    v[:200] = v[0] + pick.normal(size=(200, 24)) * 0.1
+    for i in range(200, 800, 3):
+        v[i + 1 : i + 3] = v[i] + pick.normal(size=(2, 24)) * 0.15
+    v[850:] = v[200:250]
+    short = pick.normal(size=(100, 5))
+    label = np.where(np.arange(1000) % 9 == 8, 2, 1)
+    table = pa.table({"vec_id": range(1000), "label": label, "embedding": [x.astype(np.float32) for x in [*v, *short]]})
+    want = np.zeros(1000, int), np.arange(1000)
+    for x, at in ((v, np.arange(900)), (short, np.arange(900, 1000))):
+        x = x.astype(np.float32).astype(float)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        linked = (u @ u.T >= 0.93) & (label[at][:, None] == label[at])
+        want[0][at] = linked.sum(axis=1) - 1
+        root = brute_components(range(len(at)), lambda a, b, linked=linked: linked[a, b])
+        want[1][at] = at[[root[i] for i in range(len(at))]]
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(spark.createDataFrame(table).repartition(7), limit=limit, wanted_recall=0.0).collect()}
+    assert all(got[i].n_links <= want[0][i] for i in got)
+    assert sum(got[i].n_links for i in got) >= 0.999 * want[0].sum()
+    assert sum((got[i].n_links, got[i].component_id) == (want[0][i], want[1][i]) for i in range(1000)) >= 995
+
+
 @pytest.mark.parametrize("block, query_block", [(16384, 16384), (90, 5)])
 def test_top_k_is_exact(spark, block, query_block):
     """All lists, scores and ties, id 50 with its two rows included."""

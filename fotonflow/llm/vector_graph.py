@@ -24,8 +24,8 @@ from pyspark.sql.types import FloatType
 from fotonflow.llm.common import connected_components, materialize
 from fotonflow.llm.topk import usable
 
-#: Nodes that a group holds, in limits of a leaf: 36,000 of 64 floats are 9 MB, and 18 MB in double precision.
-HELD = 24
+#: Nodes that a group holds, in limits of a leaf; fewer where vectors are so long that more bytes in double precision would be held.
+HELD, HELD_BYTES = 48, 40 << 20
 
 #: Centres of a label at most, whatever its size; cells that this leaves too large are split.
 MOST_CENTRES = 4096
@@ -85,21 +85,26 @@ def _division(sample: np.ndarray, most: int, slack: float, cost: Callable[[np.nd
     return best
 
 
+def _held(limit: int, dims: int) -> int:
+    """Nodes that a group holds at most."""
+    return min(HELD * limit, max(64, HELD_BYTES // (8 * dims)))
+
+
 def shards(nodes: DataFrame, limit: int, slack: float, levels: int = 1) -> DataFrame:
     """(shard, cell, a, b, part, node, weight, joined, v): the cells of nodes with vectors ``u``, starting from their ``shard``.
 
-    A shard of more than ``HELD`` limits is divided around sampled centres, if ``levels`` is not 0, where that takes fewer copies of a
+    A shard of more nodes than a group holds is divided around sampled centres, if ``levels`` is not 0, where that takes fewer copies of a
     node than parts that all meet. A node joins all centres within half of ``slack`` of its closest, so two nodes meet unless the
     differences of their closenesses come to more than ``slack``. What is still too large is split by hash into parts of half a group, and each
     two parts (a, b) make a group. ``joined`` has the centres of a node, 32 bits each, ``v`` the bytes of ``u``. Rows of a node in a batch become one.
     """
-    held = HELD * limit
     kind = nodes.schema["u"].dataType.elementType
     bits = np.dtype("<f4" if isinstance(kind, FloatType) else "<f8")
     nodes = nodes.select("shard", "node", "weight", F.col("u").cast("array<float>" if bits.itemsize == 4 else "array<double>").alias("u"))
-    sizes = nodes.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > held)
-    large = {r["shard"]: r["n"] for r in sizes.collect()}  # at most one for each ``held`` rows
-    centres = _sampled(nodes, large, held, slack) if levels and large else {}
+    sizes = nodes.groupBy("shard").agg(F.count("*").alias("n"), F.max(F.size("u")).alias("dims"))
+    held = F.least(F.lit(HELD * limit), F.greatest(F.lit(64), F.floor(F.lit(HELD_BYTES) / (8 * F.col("dims")))))
+    large = {r["shard"]: (r["n"], _held(limit, r["dims"])) for r in sizes.where(F.col("n") > held).collect()}  # at most one for each group's rows
+    centres = _sampled(nodes, large, slack) if levels and large else {}
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """For each batch and length: shard, node, weight, vectors; and the row, the cell and all cells of each row's copies."""
@@ -131,8 +136,8 @@ def shards(nodes: DataFrame, limit: int, slack: float, levels: int = 1) -> DataF
                 seen, n = np.unique(np.stack([shard[row], cell.astype(np.int64)]), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1]), pa.array(n)], ["shard", "cell", "n"])
 
-        counted = nodes.mapInArrow(tally, "shard long, cell long, n long").groupBy("shard", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > held)
-        parts = {(r["shard"], r["cell"]): -(-2 * r["n"] // held) for r in counted.collect()}
+        counted = nodes.mapInArrow(tally, "shard long, cell long, n long").groupBy("shard", "cell").agg(F.sum("n").alias("n")).where(F.col("n") > min(h for _, h in large.values()))
+        parts = {(r["shard"], r["cell"]): -(-2 * r["n"] // large[r["shard"]][1]) for r in counted.collect() if r["n"] > large.get(r["shard"], (0, r["n"]))[1]}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, node, weight, values, row, cell, counts in dealt(batches):
@@ -142,9 +147,10 @@ def shards(nodes: DataFrame, limit: int, slack: float, levels: int = 1) -> DataF
             copy = np.repeat(np.arange(len(row)), fan)
             other = np.arange(len(copy)) - np.repeat(np.cumsum(fan) - fan, fan)
             own = part[copy]
-            for at in range(0, len(copy), 1 << 14):
-                c = copy[at : at + (1 << 14)]
-                r, o, w = row[c], own[at : at + (1 << 14)], other[at : at + (1 << 14)]
+            step = max(1, min(1 << 14, SLICE // values.shape[1]))
+            for at in range(0, len(copy), step):
+                c = copy[at : at + step]
+                r, o, w = row[c], own[at : at + step], other[at : at + step]
                 many = np.where(counts[r] > 1, counts[r], 0)
                 lists = np.repeat((ends - counts)[r], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 columns = [shard[r], cell[c], np.minimum(o, w).astype(np.int32), np.maximum(o, w).astype(np.int32), o.astype(np.int32), node[r], weight[r]]
@@ -160,18 +166,18 @@ def _binary(data: bytes, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
 
-def _sampled(nodes: DataFrame, large: dict[int, int], held: int, slack: float) -> dict[int, np.ndarray]:
+def _sampled(nodes: DataFrame, large: dict[int, tuple[int, int]], slack: float) -> dict[int, np.ndarray]:
     """Centres of the large shards, fitted on a sample: of a shard about four vectors for each centre and 32 more, those with the smallest hashes."""
-    fan = {s: min(MOST_CENTRES, -(-4 * n // held)) for s, n in large.items()}
-    rates = nodes.sparkSession.createDataFrame(pa.table({"shard": list(large), "rate": [(4 * fan[s] + 32) / n for s, n in large.items()]}))
+    fan = {s: min(MOST_CENTRES, -(-4 * n // held)) for s, (n, held) in large.items()}
+    rates = nodes.sparkSession.createDataFrame(pa.table({"shard": list(large), "rate": [(4 * fan[s] + 32) / n for s, (n, _) in large.items()]}))
     drawn = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) < F.col("rate") * F.lit(float(1 << 40))
     sample = nodes.join(F.broadcast(rates), "shard").where(drawn).groupBy("node", "shard").agg(F.first("u").alias("u"))
     found = sample.orderBy(F.xxhash64("node", F.lit(2)), "node").select("shard", "u").toArrow()
     shard, lists, out = found["shard"].to_numpy(), found["u"].combine_chunks(), {}
     for at, unit in _matrices(lists):
         for s in set(shard[at].tolist()):
-            n = large[s]
-            shipped = lambda shares, n=n: float((shares * np.where(shares * n > held, np.ceil(2 * shares * n / held), 1)).sum())
+            n, held = large[s]
+            shipped = lambda shares, n=n, held=held: float((shares * np.where(shares * n > held, np.ceil(2 * shares * n / held), 1)).sum())
             if len(centres := _division(unit[shard[at] == s], fan[s], slack, shipped)) > 1:
                 out[s] = centres
     return out
@@ -237,11 +243,11 @@ def range_search(x: np.ndarray, edges: tuple[np.ndarray, np.ndarray], own: np.nd
     last, left = np.empty(q * n, np.int32), np.full(q, beam)
     visited[np.arange(q), own] = hits[np.arange(q), own] = True
     who, node = np.arange(q), own
-    whole = np.zeros(q, bool)
+    whole, step = np.zeros(q, bool), max(1, SLICE // (32 * x.shape[1]))
     while len(who):
         found = []
-        for at in range(0, len(who), 1 << 11):
-            a, v = who[at : at + (1 << 11)], node[at : at + (1 << 11)]
+        for at in range(0, len(who), step):
+            a, v = who[at : at + step], node[at : at + step]
             sizes = starts[v + 1] - starts[v]
             new = edges[1][np.repeat(starts[v + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())]
             a = np.repeat(a, sizes)
@@ -290,7 +296,7 @@ def _spanning(hits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _leaves(x: np.ndarray, limit: int, slack: float) -> np.ndarray:
-    """Which leaves (columns) each vector joins: around sampled centres, where that saves comparisons."""
+    """Which leaves (columns) each vector joins: around sampled centres, where that saves comparisons; with more overlap than cells, as it costs no disk."""
     if len(x) <= limit:
         return np.ones((len(x), 1), bool)
     order = np.random.default_rng(len(x)).permutation(len(x))
@@ -360,7 +366,7 @@ def _links(cut: DataFrame, least: float, beam: int | None, limit: int = 1500, sl
             """Pairs that have met in no earlier cell, and of two parts only those between them."""
             return ~(also[i] & also[j]).any(axis=1) & ((part[i] != part[j]) | (not apart))
 
-        leaves = _leaves(x, limit, slack) if beam else np.ones((len(ids), 1), bool)
+        leaves = _leaves(x, limit, 1.5 * slack) if beam else np.ones((len(ids), 1), bool)
         found, root = _search(x, weight, least, beam, leaves, counts if apart or len(earlier) else None)
         moved, home = root != np.arange(len(ids)), np.array([len(v) == 0 or v[0] == cell for v in joined])
         told = np.flatnonzero((found > 0) | moved | (home & (not apart)))  # of all nodes once at least

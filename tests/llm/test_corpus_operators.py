@@ -422,7 +422,7 @@ def test_vector_graph_ships_a_node_a_few_times_whatever_the_size(spark):
     for n in (1000, 4000):
         table = pa.table({"shard": [1] * n, "node": range(n), "weight": [1] * n, "u": list(pick.normal(size=(n, 64)).astype(np.float32))})
         nodes = spark.createDataFrame(table).selectExpr("shard", "node", "weight", "transform(u, x -> x / sqrt(aggregate(u, 0D, (s, y) -> s + y * y))) AS u")
-        rows[n] = vector_graph.shards(nodes, 10, 0.1).count() / n
+        rows[n] = vector_graph.shards(nodes, 5, 0.1).count() / n
     assert rows[1000] <= 2.5 and rows[4000] <= 3 and rows[4000] <= 2 * rows[1000]
 
 

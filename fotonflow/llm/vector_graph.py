@@ -45,7 +45,8 @@ def _matrices(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = np.flatnonzero(sizes == dims)
         x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
         unit, fine = _units(x)
-        yield at[fine], unit[fine]
+        if fine.any():
+            yield at[fine], unit[fine]
 
 
 def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

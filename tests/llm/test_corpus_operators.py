@@ -384,6 +384,15 @@ def test_vector_graph_against_brute_force(spark, limit):
     assert vector_graph.near_duplicates(vectors(spark).limit(0)).count() == 0
 
 
+def test_vector_graph_passes_over_batches_without_a_usable_vector(spark):
+    odd = [[0.0, 1.0], [-0.0, 1.0], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], None, [], [1.0], [2.0], [-1.0]]
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(odd)], "vec_id long, embedding array<float>, label int")
+    for df in (table.repartition(11, "vec_id"), table.coalesce(1)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vector_graph.near_duplicates(df).collect()}
+        assert got == {i: (0, i) for i in range(11)} | {0: (1, 0), 1: (1, 0), 8: (1, 8), 9: (1, 8)}
+    assert {r.n_links for r in vector_graph.near_duplicates(table.where("vec_id BETWEEN 2 AND 7")).collect()} == {0}
+
+
 def dense_cluster(spark, n, dims=64, noise=0.02, seed=3):
     """n distinct vectors around one direction, mean cosine about 0.97, and as many around none; and the links of each."""
     pick = np.random.default_rng(seed)
